@@ -67,7 +67,7 @@ def brute_force(rows: list[tuple[int, str | None]], k: int = K) -> dict[int, tup
 
 #: The same for DuckDB, which keeps a row for each window: for small tables alone.
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
  win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS t FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 18, 1))) AS i FROM w)),
  rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
  gone AS (SELECT DISTINCT doc_id, i + j AS p FROM rep, (SELECT unnest(range(0, 20)) AS j)),
