@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import cut, only
+from quern.llm.shared import cut, only, remove
 
 U = np.uint64
 #: Odd multipliers and shifts of a 64-bit finaliser and of the m-gram sums.
@@ -96,17 +96,17 @@ class Words:
     def __init__(self, m: int):
         self.m, self.cache = m, WordHashes()
 
+    @staticmethod
+    def plain(text: str | None) -> list[bytes]:
+        return (text or "").encode("utf-8", "surrogatepass").split()
+
     def read(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+        words = self.plain(text)
         return words, np.fromiter(map(self.cache.__getitem__, words), U, len(words))
 
     @staticmethod
-    def slice(words: list[bytes], start: int, end: int) -> bytes:
-        return b" ".join(words[start:end])
-
-    @staticmethod
-    def many(words: list[bytes], starts: list[int], ends: list[int]) -> list[bytes]:
-        """The slices as in ``slice``; cut out of one joined text."""
+    def many(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The words from each start to each end, joined by one space; cut out of one joined text."""
         bounds = np.zeros(len(words) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=bounds[1:])
         joined = b" ".join(words)
@@ -120,17 +120,16 @@ class Bytes:
         self.m = m
 
     @staticmethod
-    def read(text: str | None) -> tuple[bytes, np.ndarray]:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        return data, RANDOM_BYTES[np.frombuffer(data, np.uint8)]
+    def plain(text: str | None) -> bytes:
+        return (text or "").encode("utf-8", "surrogatepass")
 
-    @staticmethod
-    def slice(data: bytes, start: int, end: int) -> bytes:
-        return data[start:end]
+    def read(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        data = self.plain(text)
+        return data, RANDOM_BYTES[np.frombuffer(data, np.uint8)]
 
     @staticmethod
-    def many(data: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
-        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+    def many(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, key: int, whole: bool) -> Iterator[pd.DataFrame]:
@@ -145,7 +144,7 @@ def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, key: i
                 continue
             rows["anchor"].extend([data[p : p + key] for p in place.tolist()] if key else [h.view(np.int64)])
             if whole:
-                rows["content"].extend(xxhash.xxh3_128_digest(s) for s in symbols.many(data, start.tolist(), (start + n + k - 1).tolist()))
+                rows["content"].extend(xxhash.xxh3_128_digest(s) for s in symbols.many(data, start, start + n + k - 1))
                 rows["doc_id"].append(np.full(len(start), doc_id, np.int64))
                 rows["start"].append(start)
                 rows["n"].append(n.astype(np.int32))
@@ -157,13 +156,32 @@ def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, key: i
             yield pd.DataFrame(out)
 
 
+class Rows:
+    """Columns that grow by arrays and lists; a frame for each so many rows, so that short documents share one."""
+
+    def __init__(self, *names: str, many: int = 20_000):
+        self.names, self.many = names, many
+        self.parts: list[tuple] = []
+        self.n = 0
+
+    def add(self, *columns: np.ndarray | list) -> None:
+        self.parts.append(columns)
+        self.n += len(columns[0])
+
+    def frames(self, rest: bool = False) -> Iterator[pd.DataFrame]:
+        if self.n >= self.many or rest and self.n:
+            columns = zip(*self.parts, strict=True)
+            self.parts, self.n = [], 0
+            yield pd.DataFrame({k: np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for k, c in zip(self.names, columns, strict=True)})
+
+
 def pieces(batches: Iterator[pd.DataFrame], kind: type, k: int, block: int) -> Iterator[pd.DataFrame]:
     """The listed fragments in blocks of ``block`` windows at most, on a grid from their anchors. ``anchor`` is the digest of what all windows of the grid's block have in
     common, so that equal windows lie in blocks with equal ones; ``content`` is that of all the block's symbols."""
-    symbols = kind(0)
+    symbols, rows = kind(0), Rows("anchor", "content", "doc_id", "start", "n", "at")
     for batch in batches:
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            data, _ = symbols.read(text)
+            data = symbols.plain(text)
             begin, end, low = [], [], []
             for s in spans:
                 grid = s["start"] + s["at"] % block - block
@@ -174,20 +192,24 @@ def pieces(batches: Iterator[pd.DataFrame], kind: type, k: int, block: int) -> I
             begin, end, low = (np.array(x, np.int64) for x in (begin, end, low))
             for i in range(0, len(begin), 10_000):
                 f, t, g = begin[i : i + 10_000], end[i : i + 10_000], low[i : i + 10_000]
-                digests = [[xxhash.xxh3_128_digest(s) for s in symbols.many(data, x.tolist(), y.tolist())] for x, y in ((g + block - 1, g + k), (f, t + k - 1))]
-                yield pd.DataFrame({"anchor": digests[0], "content": digests[1], "doc_id": np.full(len(f), doc_id, np.int64), "start": f, "n": (t - f).astype(np.int32), "at": np.zeros(len(f), np.int32)})
+                digests = [[xxhash.xxh3_128_digest(s) for s in symbols.many(data, x, y)] for x, y in ((g + block - 1, g + k), (f, t + k - 1))]
+                rows.add(*digests, np.full(len(f), doc_id, np.int64), f, (t - f).astype(np.int32), np.zeros(len(f), np.int32))
+                yield from rows.frames()
+    yield from rows.frames(rest=True)
 
 
 def windows(batches: Iterator[pd.DataFrame], kind: type, k: int) -> Iterator[pd.DataFrame]:
     """A row with a 128-bit digest for each window of the listed spans."""
-    symbols = kind(0)
+    symbols, rows = kind(0), Rows("digest", "doc_id", "start")
     for batch in batches:
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            data, _ = symbols.read(text)
+            data = symbols.plain(text)
             place = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
             for i in range(0, len(place), 20_000):
                 part = place[i : i + 20_000]
-                yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s) for s in symbols.many(data, part.tolist(), (part + k).tolist())], "doc_id": np.full(len(part), doc_id, np.int64), "start": part})
+                rows.add([xxhash.xxh3_128_digest(s) for s in symbols.many(data, part, part + k)], np.full(len(part), doc_id, np.int64), part)
+                yield from rows.frames()
+    yield from rows.frames(rest=True)
 
 
 def texts(df: DataFrame) -> DataFrame:
@@ -210,27 +232,41 @@ def spans_to_text(df: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return texts(df).join(listed.hint("shuffle_hash"), "doc_id", how)
 
 
-def settled(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """Spans that are repeated as a whole, and the first of each class where an anchor has several."""
-    classes = cut(found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "n", "at")).alias("first")))
-    branching = classes.groupBy("anchor").agg(F.count("*").alias("ways")).filter("ways > 1").select("anchor")
+def settled(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Spans that are repeated as a whole; the first of each class where an anchor has several; the tables that both read."""
+    place = ("doc_id", "start", "n", "at")
+    if keep_first:
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct(*place)).alias("first"))
+    else:  # any place will do, and its columns come from one row
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in place])
+        classes = classes.select("anchor", "content", "times", F.struct(*place).alias("first"))
+    classes = cut(classes)
+    # written, so that adaptive execution can split a hot anchor in the join
+    branching = cut(classes.groupBy("anchor").agg(F.count("*").alias("ways")).filter("ways > 1").select("anchor"))
     more = classes.filter("times > 1").select("anchor", "content", "first")
-    return found.join(more, ["anchor", "content"]).filter(later(keep_first)).select("doc_id", "start", "n"), classes.join(branching, "anchor").select("first.*")
+    return found.join(more, ["anchor", "content"]).filter(later(keep_first)).select("doc_id", "start", "n"), classes.join(branching, "anchor").select("first.*"), [found, classes, branching]
 
 
 def repeated_spans(df: DataFrame, repeated: DataFrame, kind: type, k: int, m: int, key: int, keep_first: bool, block: int = 0) -> DataFrame:
     """Rows (doc_id, start, n): ``n`` windows from ``start`` on that also start elsewhere; earlier, if ``keep_first``.
 
-    ``repeated`` has each anchor that occurs more than once. ``block``: compare branching paths by blocks of so many windows before single windows.
+    ``repeated`` has each anchor that occurs more than once, as a table that ``cut`` wrote. ``block``: compare branching paths by blocks of so many windows before single windows.
     """
-    whole, paths = settled(cut(occurrences(df, kind, k, m, key).join(repeated.select("anchor"), "anchor")), keep_first)
+    found = cut(occurrences(df, kind, k, m, key).join(repeated, "anchor"))
+    remove(repeated)
+    whole, paths, read = settled(found, keep_first)
     if block:
         schema = "anchor binary, content binary, doc_id long, start long, n int, at int"
-        part, paths = settled(cut(spans_to_text(df, paths, "inner").mapInPandas(partial(pieces, kind=kind, k=k, block=block), schema)), keep_first)
-        whole = whole.unionByName(part)
+        part, paths, also = settled(cut(spans_to_text(df, paths, "inner").mapInPandas(partial(pieces, kind=kind, k=k, block=block), schema)), keep_first)
+        whole, read = whole.unionByName(part), read + also
     edges = cut(spans_to_text(df, paths, "inner").mapInPandas(partial(windows, kind=kind, k=k), "digest binary, doc_id long, start long"))
-    met = edges.groupBy("digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).filter("times > 1")
-    return whole.unionByName(edges.join(met, "digest").filter(later(keep_first)).select("doc_id", "start", F.lit(1).alias("n")))
+    first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
+    met = cut(edges.groupBy("digest").agg(F.count("*").alias("times"), *first).filter("times > 1"))
+    single = edges.join(met, "digest").filter(later(keep_first)).select("doc_id", "start", F.lit(1).alias("n"))
+    spans = cut(whole.unionByName(single))
+    for table in [*read, edges, met]:
+        remove(table)
+    return spans
 
 
 def later(keep_first: bool) -> Column:

@@ -45,10 +45,9 @@ def remove(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and nothing reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f[: f.index("/", f.index("/quern-") + 1)] for f in df.inputFiles() if "/quern-" in f}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        if "/quern-" in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

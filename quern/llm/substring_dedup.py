@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.fragments import Words, anchors, covered, repeated_spans, spans_to_text
-from quern.llm.shared import documents
+from quern.llm.shared import cut, documents
 
 K, M = 20, 6
 
@@ -25,7 +25,7 @@ def repeated_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     ``df`` has doc_id and text, doc_id being unique; null and empty texts have no window, nor have texts under ``k`` words. Other columns aren't read.
     """
-    again = anchors(df, Words, k, m).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
+    again = cut(anchors(df, Words, k, m).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
     return repeated_spans(df, again, Words, k, m, 0, keep_first=True)
 
 

@@ -27,6 +27,7 @@ class SuffixIndex:
     def __init__(self) -> None:
         self.levels: dict[int, DataFrame] = {}
         self.met: list[DataFrame] = []
+        self.known: DataFrame | None = None
 
     def add(self, suffixes: DataFrame) -> None:
         """Index a batch of suffixes (anchor); a batch may be empty."""
@@ -35,7 +36,10 @@ class SuffixIndex:
         for level in self.levels.values():
             self.met.append(table.join(level, "anchor", "left_semi").select("anchor"))
         # matches are written before the levels they were read from merge and go
-        self.met = [cut(self._union(self.met))]
+        met = cut(self._union(self.met).distinct())
+        if self.known is not None:
+            remove(self.known)
+        self.known, self.met = met, [met]
         size = 0
         while size in self.levels:
             older = self.levels.pop(size)
@@ -46,8 +50,11 @@ class SuffixIndex:
         self.levels[size] = table
 
     def repeated(self) -> DataFrame:
-        """Each suffix that was met more than once, in one batch or in several."""
-        return self._union(self.met).distinct()
+        """Each suffix that was met more than once, in one batch or in several; the levels go, as nothing more is added."""
+        for level in self.levels.values():
+            remove(level)
+        self.levels = {}
+        return self.known
 
     @staticmethod
     def _union(tables: list[DataFrame]) -> DataFrame:
