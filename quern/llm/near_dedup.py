@@ -3,7 +3,9 @@
 Each shingle has Poisson processes over dyadic ranges of its weight, [0, 1), [1, 2), [2, 4) and so on, with rates as wide as the ranges; a point counts for a document if it lies
 under the shingle's weight there, and falls into one register of the signature. The first point of a register is the same for two documents as often as their weighted Jaccard
 similarity says. Texts with equal multisets are one text from the start. Bands of registers put like texts into buckets; in each bucket texts are compared with a leader, not with
-each other, and only what is left apart in a bucket is compared across the parts. Every link is verified on whole texts by the exact overlap of the multisets.
+each other. What a leader leaves apart meets again in smaller buckets: two texts of which one isn't like the leader can only be like each other if they share a shingle that the
+leader has fewer of, or if both are small. Such buckets get leaders of their own, until none holds texts that are apart and not compared; so no link within a bucket is lost. Every
+link is verified on whole texts by the exact overlap of the multisets.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from quern.llm.fragments import STEP, U, WordHashes, grams, mixed
 from quern.llm.shared import cut, documents, only
 
 SHINGLE, LIKE = 5, 0.8
-#: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033; rounds with one leader each before the rest is compared.
-BANDS, ROWS, LEADERS = 24, 4, 2
+#: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
+BANDS, ROWS, POINTS = 24, 4, 4
 
 
 def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -45,15 +47,17 @@ def signature(shingle: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
     while True:
         first = np.full(size, np.inf)
         left, x, t = np.arange(len(which)), np.zeros(len(which)), 0
-        while len(left):
-            t += 1
-            draw = mixed(seed[left] + U(t * int(STEP) & 0xFFFFFFFFFFFFFFFF))
-            x = x - np.log(((draw >> U(11)).astype(np.float64) + 1.0) * 2.0**-53) / rate[left]
-            near = x <= end
-            left, x, draw = left[near], x[near], draw[near]
-            second = mixed(draw ^ STEP)
-            under = low[left] + (second >> U(32)).astype(np.float64) * 2.0**-32 * rate[left] < weight[which[left]]
-            np.minimum.at(first, ((second & U(0xFFFFFFFF)) % U(size)).astype(np.int64)[under], x[under])
+        while len(left):  # POINTS points of each process at once
+            steps = np.array([(t + i) * int(STEP) & 0xFFFFFFFFFFFFFFFF for i in range(1, POINTS + 1)], U)
+            t += POINTS
+            draw = mixed(seed[left][:, None] + steps)
+            at = x[:, None] - np.cumsum(np.log(((draw >> U(11)).astype(np.float64) + 1.0) * 2.0**-53), axis=1) / rate[left][:, None]
+            row, column = np.nonzero(at <= end)
+            second, of = mixed(draw[row, column] ^ STEP), left[row]
+            under = low[of] + (second >> U(32)).astype(np.float64) * 2.0**-32 * rate[of] < weight[which[of]]
+            np.minimum.at(first, ((second & U(0xFFFFFFFF)) % U(size)).astype(np.int64)[under], at[row, column][under])
+            more = at[:, -1] <= end
+            left, x = left[more], at[more, -1]
         if np.isfinite(first).all():
             return first.view(U)
         end *= 2
@@ -71,23 +75,31 @@ def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "bands"])
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(1, int(a[1].sum() + b[1].sum()) - both)
+def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFrame]:
+    """Compare texts x with their leaders y by the exact overlap of their multisets.
 
-
-def verified(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFrame]:
+    ``most`` is the size up to which a text can be like x if all that they share is the leader's too. ``beyond`` has the shingles of x that the leader has fewer of, in the order of
+    their hashes and as many as are needed to meet one of any text that is like x and shares more with it than the leader's.
+    """
     hashes = WordHashes()
     last: tuple = (None, None)
+    part_of = like / (1 + like)
     for part in parts:
         found = []
         for a, b, x, y in zip(part["a"], part["b"], part["x"], part["y"], strict=True):
             if last[0] != b:
                 last = (b, shingles(y, hashes))
-            found.append((a, b, overlap(shingles(x, hashes), last[1]) >= like))
-        yield pd.DataFrame(found, columns=["a", "b", "alike"])
+            (s, w), (z, v) = shingles(x, hashes), last[1]
+            _, i, j = np.intersect1d(s, z, assume_unique=True, return_indices=True)
+            both, size = int(np.minimum(w[i], v[j]).sum()), int(w.sum())
+            have = np.zeros(len(s), np.int64)
+            have[i] = v[j]
+            more = s[w > have]
+            # units of x beyond the leader's, of which a text like x, of at least like * size, shares so many
+            spare, need = int((w - have)[w > have].sum()), max(1, int(np.ceil(part_of * size * (1 + like) - 1e-6)) - both)
+            gone = np.cumsum((w - have)[w > have])
+            found.append((a, b, both >= like * (size + int(v.sum()) - both) - 1e-9, both / part_of - size + 1e-6, more[: int(np.searchsorted(gone, spare - need + 1)) + 1].view(np.int64)))
+        yield pd.DataFrame(found, columns=["a", "b", "alike", "most", "beyond"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -111,7 +123,25 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_classes(df: DataFrame, like: float = LIKE, leaders: int = LEADERS) -> DataFrame:
+def led(seats: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (a, b, n): the texts of each bucket that holds several parts, with its leader b; that is the text whose buckets are fullest, as a template's are."""
+    sizes = cut(seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"))
+    shared = seats.join(sizes, "bucket")
+    fame = cut(shared.groupBy("rep").agg(F.sum("k").alias("fame")).join(parts, "rep"))
+    sat = shared.select("bucket", "rep", "n").join(fame, "rep")
+    leads = sat.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("fame").alias("fame")).filter("low != high").select("bucket", "fame")
+    tops = sat.join(cut(leads), ["bucket", "fame"]).groupBy("bucket").agg(F.min("rep").alias("b"))
+    return sat.join(cut(tops), "bucket").filter("rep != b").select(F.col("rep").alias("a"), "b", "n").distinct()
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The parts (rep, part) after joining those that links (a, b) connect."""
+    ends = links.join(parts.select(F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
+    moved = components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return parts.join(moved.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("rep", F.coalesce("to", "part").alias("part"))
+
+
+def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     """Rows (doc_id, class_id, class_size), one for each row of ``df`` (doc_id, text): documents linked by a similarity of ``like`` or more, directly or through others.
 
     ``class_id`` is the least doc_id of the class. Texts with equal multisets of shingles are alike; texts without words are one class. Texts of one to four words are one shingle.
@@ -124,30 +154,20 @@ def near_classes(df: DataFrame, like: float = LIKE, leaders: int = LEADERS) -> D
     seats = bands.select("rep", "n", F.posexplode("bands").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
     seats = cut(seats.join(shared, "bucket").select("bucket", "rep", "n"))
-    parts = seats.select("rep").distinct().select("rep", F.col("rep").alias("part"))
-    parts = cut(parts)
+    parts = cut(seats.select("rep").distinct().select("rep", F.col("rep").alias("part")))
     bodies = cut(texts.join(parts.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"))
-    tested = None
-    for step in range(leaders + 1):
-        sat = seats.join(parts, "rep")
-        mixed_ = sat.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("rep", "part", "n"), F.xxhash64("rep", F.lit(step))).alias("lead")).filter("low != high")
-        if step < leaders:
-            pairs = sat.join(mixed_, "bucket").select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"), "part", F.col("lead.part").alias("q"), "n", F.col("lead.n").alias("k"))
-        else:
-            left = cut(sat.join(mixed_.select("bucket"), "bucket"))
-            other = left.select("bucket", F.col("rep").alias("y"), F.col("part").alias("q"), F.col("n").alias("k"))
-            pairs = left.withColumnRenamed("rep", "x").join(other, "bucket").filter("x < y")
-        pairs = pairs.filter((F.col("part") != F.col("q")) & (F.least("n", "k") >= F.greatest("n", "k") * (like - 1e-9))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        if tested is not None:
-            done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        bodied = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        found = cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(verified, like=like), "a long, b long, alike boolean"))
-        tested = found if tested is None else tested.unionByName(found)
-        joined = found.filter("alike").join(parts.select(F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
-        moved = components(joined.select(F.col("p").alias("a"), F.col("q").alias("b")))
-        parts = cut(parts.join(moved.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("rep", F.coalesce("to", "part").alias("part")))
+    while not seats.isEmpty():
+        stars = cut(led(seats, parts))
+        bodied = stars.select("a", "b").join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        found = cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(compared, like=like), "a long, b long, alike boolean, most double, beyond array<long>"))
+        parts = cut(joined(parts, found.filter("alike").select("a", "b")))
+        # what a star leaves apart can only be alike through what its leader lacks, or if it is small
+        apart = stars.join(found, ["a", "b"]).join(parts.withColumnRenamed("rep", "a"), "a")
+        mixed_ = cut(apart.groupBy("b").agg(F.min("n").alias("least"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("b", "least"))
+        rest = apart.join(mixed_, "b")
+        beyond = rest.select(F.col("a").alias("rep"), "n", "b", F.explode("beyond").alias("s")).select(F.xxhash64("b", "s").alias("bucket"), "rep", "n")
+        small = rest.filter("most >= least").select(F.xxhash64("b", F.lit("small")).alias("bucket"), F.col("a").alias("rep"), "n")
+        seats = cut(beyond.unionByName(small))
     named = first.join(parts, "rep", "left").select("digest", "copies", F.coalesce("part", "rep").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     named = cut(named.join(sizes, "class_id").select("digest", "class_id", "class_size"))
