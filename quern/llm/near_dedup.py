@@ -2,10 +2,10 @@
 
 Each shingle has Poisson processes over dyadic ranges of its weight, [0, 1), [1, 2), [2, 4) and so on, with rates as wide as the ranges; a point counts for a document if it lies
 under the shingle's weight there, and falls into one register of the signature. The first point of a register is the same for two documents as often as their weighted Jaccard
-similarity says. Texts with equal multisets are one text from the start. Bands of registers put like texts into buckets; in each bucket texts are compared with a leader, not with
-each other. What a leader leaves apart meets again in smaller buckets: two texts of which one isn't like the leader can only be like each other if they share a shingle that the
-leader has fewer of, or if both are small. Such buckets get leaders of their own, until none holds texts that are apart and not compared; so no link within a bucket is lost. Every
-link is verified on whole texts by the exact overlap of the multisets.
+similarity says. Texts with equal multisets are one text from the start. Bands of registers put like texts into buckets; the texts of buckets that hang together are compared with one leader, not with
+each other. What a leader leaves apart meets again in other buckets: two texts of which one isn't like the leader can only be like each other if they share a shingle that the
+leader has fewer of, or if both are small. In such buckets a few texts are compared with each other, more with a leader again, for ROUNDS rounds; a link between two texts that no
+round compares and no other links connect is missed. Every link is verified on whole texts by the exact overlap of the multisets.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from quern.llm.shared import cut, documents, only
 SHINGLE, LIKE = 5, 0.8
 #: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
 BANDS, ROWS, POINTS = 24, 4, 4
+#: Texts of a later bucket that are compared with each other instead of with a leader, at most.
+FEW = 8
+#: Rounds of leaders.
+ROUNDS = 3
 
 
 def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +127,31 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def led(seats: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows (a, b, n): the texts of each bucket that holds several parts, with its leader b; that is the text whose buckets are fullest, as a template's are."""
-    sizes = cut(seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"))
-    shared = seats.join(sizes, "bucket")
-    fame = cut(shared.groupBy("rep").agg(F.sum("k").alias("fame")).join(parts, "rep"))
-    sat = shared.select("bucket", "rep", "n").join(fame, "rep")
-    leads = sat.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("fame").alias("fame")).filter("low != high").select("bucket", "fame")
-    tops = sat.join(cut(leads), ["bucket", "fame"]).groupBy("bucket").agg(F.min("rep").alias("b"))
-    return sat.join(cut(tops), "bucket").filter("rep != b").select(F.col("rep").alias("a"), "b", "n").distinct()
+def mixed_seats(seats: DataFrame, parts: DataFrame) -> DataFrame:
+    """The seats, with their part and the bucket's number k and least text, of the buckets that hold several parts."""
+    sat = seats.join(parts, "rep")
+    buckets = sat.groupBy("bucket").agg(F.count("*").alias("k"), F.min("rep").alias("least"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return cut(sat.join(cut(buckets.filter("low != high").select("bucket", "k", "least")), "bucket"))
+
+
+def led(shared: DataFrame, together: bool) -> DataFrame:
+    """Rows (a, b, n): texts with the leader b of their bucket, or of all buckets that hang ``together``; that is the text whose buckets are fullest, as a template's are."""
+    fame = shared.groupBy("rep", "n").agg(F.sum("k").alias("fame"))
+    if together:
+        groups = components(shared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        sat = cut(fame.join(groups.select(F.col("node").alias("rep"), F.col("part").alias("bucket")), "rep"))
+    else:
+        sat = cut(shared.select("bucket", "rep").join(fame, "rep"))
+    top = cut(sat.groupBy("bucket").agg(F.max("fame").alias("fame")))
+    leads = cut(sat.join(top, ["bucket", "fame"]).groupBy("bucket").agg(F.min("rep").alias("b")))
+    return sat.join(leads, "bucket").filter("rep != b").select(F.col("rep").alias("a"), "b", "n").distinct()
+
+
+def across(shared: DataFrame, like: float) -> DataFrame:
+    """Rows (a, b): the pairs of texts of different parts that share a bucket; for buckets of bounded size."""
+    other = shared.select("bucket", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"))
+    pairs = shared.join(other, "bucket").filter((F.col("rep") < F.col("b")) & (F.col("part") != F.col("q")) & (F.least("n", "m") >= F.greatest("n", "m") * (like - 1e-9)))
+    return pairs.select(F.col("rep").alias("a"), "b").distinct()
 
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -141,7 +161,7 @@ def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(moved.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("rep", F.coalesce("to", "part").alias("part"))
 
 
-def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
+def near_classes(df: DataFrame, like: float = LIKE, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, class_id, class_size), one for each row of ``df`` (doc_id, text): documents linked by a similarity of ``like`` or more, directly or through others.
 
     ``class_id`` is the least doc_id of the class. Texts with equal multisets of shingles are alike; texts without words are one class. Texts of one to four words are one shingle.
@@ -156,9 +176,15 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     seats = cut(seats.join(shared, "bucket").select("bucket", "rep", "n"))
     parts = cut(seats.select("rep").distinct().select("rep", F.col("rep").alias("part")))
     bodies = cut(texts.join(parts.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"))
-    while not seats.isEmpty():
-        stars = cut(led(seats, parts))
-        bodied = stars.select("a", "b").join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    for level in range(rounds):
+        shared = mixed_seats(seats, parts)
+        if shared.isEmpty():
+            break
+        stars = cut(led(shared.filter(F.col("k") > FEW) if level else shared, together=not level))
+        pairs = stars.select("a", "b")
+        if level:
+            pairs = cut(pairs.unionByName(across(shared.filter(F.col("k") <= FEW), like)).distinct())
+        bodied = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
         found = cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(compared, like=like), "a long, b long, alike boolean, most double, beyond array<long>"))
         parts = cut(joined(parts, found.filter("alike").select("a", "b")))
         # what a star leaves apart can only be alike through what its leader lacks, or if it is small
