@@ -70,11 +70,13 @@ def histograms() -> tuple[list[Column], list[Column]]:
 
 def distance(counts: list[Column], reference: list[float]) -> Column:
     """Jensen-Shannon distance, base 2, of a histogram of counts to a distribution."""
-    total = F.greatest(reduce(Column.__add__, counts), F.lit(1)).cast("double")
+    other = F.array(*[F.lit(float(q)) for q in reference])
 
-    pairs = F.array(*[F.struct((c / total).alias("p"), F.lit(float(q)).alias("q")) for c, q in zip(counts, reference, strict=True)])
-    value = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + jensen(x["p"], x["q"]))
-    return F.sqrt(F.greatest(F.lit(0.0), value / 2))
+    def compare(c: Column) -> Column:
+        total = F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+        return let(total, lambda t: F.aggregate(F.zip_with(c, other, lambda x, q: jensen(x / t, q)), F.lit(0.0), lambda a, x: a + x))
+
+    return F.sqrt(F.greatest(F.lit(0.0), let(F.array(*[c.cast("double") for c in counts]), compare) / 2))
 
 
 def jensen(p: Column, q: Column) -> Column:
