@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,16 +33,17 @@ MERGE = """
 WITH RECURSIVE step(word, pos, id, live) AS (
   SELECT word, pos, id, true FROM bytes
   UNION ALL
-  (WITH pair AS (
-     SELECT word, pos, s.id, next_pos, seq, m.id AS merged, min(m.id) OVER (PARTITION BY word) AS least
-     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos, row_number() OVER w AS seq FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+  (WITH pair AS MATERIALIZED (
+     SELECT word, pos, s.id, next_id, next_pos, m.id AS merged
+     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) s
      LEFT JOIN merges m ON m.a = s.id AND m.b = s.next_id),
-   place AS (SELECT *, seq - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM pair WHERE merged = least),
-   best AS (SELECT word, pos, next_pos, merged FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM place) WHERE nth % 2 = 1)
-   SELECT p.word, p.pos, coalesce(b.merged, p.id), true
-   FROM pair p LEFT JOIN best b ON p.word = b.word AND p.pos = b.pos ANTI JOIN best x ON p.word = x.word AND p.pos = x.next_pos WHERE p.least IS NOT NULL
-   UNION ALL
-   SELECT word, pos, id, false FROM pair WHERE least IS NULL)
+   least AS MATERIALIZED (SELECT word, min(merged) AS least FROM pair GROUP BY word),
+   hit AS MATERIALIZED (SELECT p.word, pos, next_pos, id, next_id, merged FROM pair p JOIN least l ON p.word = l.word AND p.merged = l.least),
+   best AS MATERIALIZED (SELECT word, pos, next_pos, merged FROM hit WHERE id <> next_id UNION ALL
+     SELECT word, pos, next_pos, merged FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth
+       FROM (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(next_pos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hit WHERE id = next_id))) WHERE nth % 2 = 1)
+   SELECT p.word, p.pos, coalesce(b.merged, p.id), l.least IS NOT NULL
+   FROM pair p JOIN least l ON p.word = l.word LEFT JOIN best b ON p.word = b.word AND p.pos = b.pos ANTI JOIN best x ON p.word = x.word AND p.pos = x.next_pos)
 )
 SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
 """
@@ -60,6 +63,7 @@ class Coder:
         self.ranks = ranks(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pd.DataFrame(merges, columns=["a", "b", "id"], dtype="int32"))
@@ -84,14 +88,30 @@ class Coder:
         return out
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode and decode pieces, each once."""
-        tokens = [[t.encode("utf-8", "surrogatepass") for t in self.pattern.findall(p)] for p in pieces]
-        new = list(dict.fromkeys(t for part in tokens for t in part if t not in self.ranks))
-        merged = dict(zip(new, self.merge(new), strict=True))
-        ids = [list(itertools.chain.from_iterable((self.ranks[t],) if t in self.ranks else merged[t] for t in part)) for part in tokens]
-        back = self.decode(ids)
-        for piece, part, data in zip(pieces, ids, back, strict=True):
-            self.kept[piece] = (b"".join(i.to_bytes(4, "little") for i in part), data)
+        """Encode and decode pieces, by their pretokens, each once."""
+        tokens = list(map(self.pattern.findall, pieces))
+        if len(self.words) > KEEP:
+            self.words.clear()
+        new = list({t for part in tokens for t in part}.difference(self.words))
+        raw = [t.encode("utf-8", "surrogatepass") for t in new]
+        known = list(map(self.ranks.get, raw))
+        merged = iter(self.merge([t for t, i in zip(raw, known, strict=True) if i is None]))
+        ids = [next(merged) if i is None else [i] for i in known]
+        packed = array("I", itertools.chain.from_iterable(ids))
+        if sys.byteorder == "big":
+            packed.byteswap()
+        data, at = packed.tobytes(), 0
+        for token, part, back in zip(new, ids, self.decode(ids), strict=True):
+            end = at + 4 * len(part)
+            self.words[token] = (data[at:end], back)
+            at = end
+        words = self.words
+        for piece, part in zip(pieces, tokens, strict=True):
+            if len(part) == 1:
+                self.kept[piece] = words[part[0]]
+            else:
+                found = [words[t] for t in part]
+                self.kept[piece] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -139,10 +159,13 @@ class Coder:
         return out
 
 
+CODERS: dict[str, Coder] = {}
+
+
 def coded(parts: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
-    coder = None
     for part in parts:
-        coder = coder or Coder(path)
+        # a worker process serves many tasks, and keeps what it has encoded
+        coder = CODERS.get(path) or CODERS.setdefault(path, Coder(path))
         for i in range(0, len(part), 512):
             some = part.iloc[i : i + 512]
             rows = coder.coded(list(some["text"]))
