@@ -65,7 +65,7 @@ def decode_postings(lines: DataFrame) -> DataFrame:
 
 def fetch_document(docs: DataFrame, name: str) -> DataFrame:
     """Lines of the document of that file name, trimmed, in order; a single line says so if there is none."""
-    found = docs.filter(basename(F.col("doc_name")) == name).select(F.posexplode(F.transform(F.split("text", "\n"), F.trim)).alias("line_no", "line"))
+    found = docs.filter(basename(F.col("doc_name")) == name).select(F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line_no", "line"))
     none = docs.sparkSession.createDataFrame([(0, "No file found")], "line_no int, line string")
     return found.unionByName(none.join(found.limit(1).select(F.lit(True).alias("some")), F.lit(True), "left_anti"))
 
