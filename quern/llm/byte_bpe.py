@@ -21,11 +21,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.shared import documents, only
+from quern.llm.shared import documents, held, only
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a task keeps encoded, and pieces that are encoded together.
-KEEP, TOGETHER = 400_000, 60_000
+KEEP, TOGETHER = 200_000, 20_000
 
 #: Rounds go on with the words that had a pair; words without one are final. ``word`` numbers words, ``pos`` positions. All places of a word's least pair are contracted in one
 #: round, leftmost first where they overlap: pairs with a contracted token rank after it, so this equals contracting the leftmost alone, in fewer rounds.
@@ -64,7 +64,7 @@ class Coder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pd.DataFrame(merges, columns=["a", "b", "id"], dtype="int32"))
         self._table("vocabulary", pd.DataFrame({"id": pd.Series(list(self.ranks.values()), dtype="int32"), "hex": [t.hex() for t in self.ranks]}))
@@ -159,13 +159,9 @@ class Coder:
         return out
 
 
-CODERS: dict[str, Coder] = {}
-
-
 def coded(parts: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
     for part in parts:
-        # a worker process serves many tasks, and keeps what it has encoded
-        coder = CODERS.get(path) or CODERS.setdefault(path, Coder(path))
+        coder = held(f"bpe {path}", lambda: Coder(path))
         for i in range(0, len(part), 512):
             some = part.iloc[i : i + 512]
             rows = coder.coded(list(some["text"]))

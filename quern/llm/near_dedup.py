@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.fragments import STEP, U, WordHashes, grams, mixed
-from quern.llm.shared import cut, documents, only
+from quern.llm.shared import cut, documents, held, only
 
 SHINGLE, LIKE = 5, 0.8
 #: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
@@ -68,7 +68,7 @@ def signature(shingle: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
 
 
 def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    hashes = held("shingles", WordHashes)
     turn = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U) * STEP) | U(1)
     for part in parts:
         rows = []
@@ -85,7 +85,7 @@ def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFram
     ``most`` is the size up to which a text can be like x if all that they share is the leader's too. ``beyond`` has the shingles of x that the leader has fewer of, in the order of
     their hashes and as many as are needed to meet one of any text that is like x and shares more with it than the leader's.
     """
-    hashes = WordHashes()
+    hashes = held("shingles", WordHashes)
     last: tuple = (None, None)
     part_of = like / (1 + like)
     for part in parts:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, only
+from quern.llm.shared import documents, held, only
 
 #: Labelled documents that the model is fitted on, at most: those with the least hashes of doc_id.
 SAMPLE = 4_000
@@ -91,7 +91,7 @@ class Model:
 
 
 def sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    features = Features()
+    features = held("features", Features)
     for part in parts:
         for i in range(0, len(part), BLOCK):
             some = part.iloc[i : i + BLOCK]
@@ -126,7 +126,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -
 
 
 def scored(parts: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    features = Features()
+    features = held("features", Features)
     for part in parts:
         for i in range(0, len(part), BLOCK):
             some = part.iloc[i : i + BLOCK]
@@ -139,7 +139,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
 
 def good(parts: Iterator[pd.DataFrame], model: Model, least: float) -> Iterator[pd.DataFrame]:
-    features = Features()
+    features = held("features", Features)
     for part in parts:
         keep = np.concatenate([model.scores(counted(list(part["text"].iloc[i : i + BLOCK]), features)) for i in range(0, len(part), BLOCK)] or [np.zeros(0)]) >= least
         yield part[keep]

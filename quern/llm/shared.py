@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -65,8 +64,15 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def digest64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps between the tasks of one operator; that of another operator goes first, so that a worker holds one at most."""
+    if name not in HELD:
+        HELD.clear()
+        HELD[name] = make()
+    return HELD[name]
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
