@@ -1,21 +1,21 @@
 """Byte-level BPE encoding and decoding with DuckDB, one database for each task.
 
-Texts are cut at single spaces between other characters, which no pretoken crosses; each cut piece is encoded once per task. The pieces' pretokens that aren't tokens themselves become
-rows of a token for each position. A recursive query joins neighbours with the merge table and contracts each word's leftmost pair of least rank, until no pair of any word is left.
-Decoding joins ids with the vocabulary and aggregates their bytes in order.
+Texts are cut at single spaces and newlines between other characters, which no pretoken crosses; the pieces and their pretokens are encoded once and kept for a while. The pretokens
+that aren't tokens themselves become rows of a token for each position. A recursive query joins each row's pair with the merge table and contracts each word's leftmost pair of least
+rank, until no pair of any word is left. Decoding joins ids with the vocabulary and aggregates their bytes in order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
-import sys
-from array import array
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -24,30 +24,51 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.shared import documents, held, only
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces that a task keeps encoded, and pieces that are encoded together.
-KEEP, TOGETHER = 200_000, 20_000
-
-#: Rounds go on with the words that had a pair; words without one are final. ``word`` numbers words, ``pos`` positions. All places of a word's least pair are contracted in one
-#: round, leftmost first where they overlap: pairs with a contracted token rank after it, so this equals contracting the leftmost alone, in fewer rounds.
+#: Pieces and pretokens that a worker keeps of each of two generations, and new ones that are encoded together; bytes of results in a frame.
+PIECES, WORDS, TOGETHER, FRAME = 75_000, 125_000, 60_000, 8_000_000
+#: Longest word, in bytes, of which the leftmost pair alone is contracted in a round; rows that the rounds of one query add up to, about; rounds of longer words in one query.
+SHORT, ROWS, ROUNDS = 127, 3_000_000, 16
+#: Where a space or newline isn't alone between two characters that aren't white, or the mark of cuts is in the text.
+CROWDED = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z|\0")
+
+#: ``place`` packs the word's number and the position in it, ``pair`` the ids there and at the next position (all ones at the end). Contracting drops the pair's first row, and its
+#: second takes the merged id, so that a row knows its neighbour without sorting. Rounds go on with the words that had a pair; words without one are final.
 MERGE = """
-WITH RECURSIVE step(word, pos, id, live) AS (
-  SELECT word, pos, id, true FROM bytes
+WITH RECURSIVE step(place, pair, live) AS (
+  SELECT place, pair, true FROM bytes
+  UNION ALL
+  (WITH now AS MATERIALIZED (SELECT place, pair FROM step WHERE live),
+   least AS MATERIALIZED (SELECT place >> 8 AS word, min(id << 8 | (place & 255)) AS least FROM now JOIN merges USING (pair) GROUP BY 1),
+   hit AS MATERIALIZED (SELECT word, least & 255 AS spot, least >> 8 AS merged FROM least)
+   SELECT CASE WHEN (place & 255) > spot THEN place - 1 ELSE place END,
+     CASE (place & 255) - spot WHEN 1 THEN merged << 32 | (pair & 4294967295) WHEN -1 THEN pair >> 32 << 32 | merged ELSE pair END, merged IS NOT NULL
+   FROM now LEFT JOIN hit ON word = place >> 8
+   WHERE merged IS NULL OR (place & 255) <> spot)
+)
+SELECT place >> 8 AS word, pair >> 32 AS id FROM step WHERE NOT live ORDER BY place
+"""
+#: The same for long words, where all places of a word's least pair are contracted in one round, leftmost first where they overlap. That equals the leftmost alone unless a merged
+#: token and what follows it make a token of lower rank over the pair's next place. A query ends after some rounds, so that what it holds is bounded.
+MERGE_LONG = """
+WITH RECURSIVE step(word, pos, id, live, round) AS (
+  SELECT word, pos, id, true, 0 FROM bytes
   UNION ALL
   (WITH pair AS MATERIALIZED (
-     SELECT word, pos, s.id, next_id, next_pos, m.id AS merged
-     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-     LEFT JOIN merges m ON m.a = s.id AND m.b = s.next_id),
+     SELECT word, pos, s.id, next_id, next_pos, m.id AS merged, round
+     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos, round FROM step WHERE live AND round < {rounds} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+     LEFT JOIN merges m ON m.pair = s.id << 32 | s.next_id),
    least AS MATERIALIZED (SELECT word, min(merged) AS least FROM pair GROUP BY word),
    hit AS MATERIALIZED (SELECT p.word, pos, next_pos, id, next_id, merged FROM pair p JOIN least l ON p.word = l.word AND p.merged = l.least),
    best AS MATERIALIZED (SELECT word, pos, next_pos, merged FROM hit WHERE id <> next_id UNION ALL
      SELECT word, pos, next_pos, merged FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth
        FROM (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(next_pos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hit WHERE id = next_id))) WHERE nth % 2 = 1)
-   SELECT p.word, p.pos, coalesce(b.merged, p.id), l.least IS NOT NULL
+   SELECT p.word, p.pos, coalesce(b.merged, p.id), l.least IS NOT NULL, round + 1
    FROM pair p JOIN least l ON p.word = l.word LEFT JOIN best b ON p.word = b.word AND p.pos = b.pos ANTI JOIN best x ON p.word = x.word AND p.pos = x.next_pos)
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT word, pos, id, live FROM step WHERE NOT live OR round = {rounds} ORDER BY word, pos
 """
-DECODE = "SELECT piece, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY piece"
+#: The bytes of all words in one aggregate, so that they are sorted once; a comma ends each word.
+DECODE = "SELECT string_agg(CASE WHEN last THEN hex || ',' ELSE hex END, '' ORDER BY place) FROM ids JOIN vocabulary USING (id)"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -56,75 +77,110 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class Kept:
+    """Ids and bytes of pieces or pretokens, those asked for lately: two generations of about ``most``, or of as many as one batch has."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def lacking(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that have to be learnt; the others are in the new generation afterwards."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old.get, []
+        for x in wanted.difference(new):
+            if found := old(x):
+                new[x] = found
+            else:
+                out.append(x)
+        return out
+
+
 class Coder:
     """Encoder and decoder of a task; ``path`` names the vocabulary's file on each machine."""
 
     def __init__(self, path: str):
         self.ranks = ranks(path)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces, self.words = Kept(PIECES), Kept(WORDS)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        merges = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self._table("merges", pd.DataFrame(merges, columns=["a", "b", "id"], dtype="int32"))
-        self._table("vocabulary", pd.DataFrame({"id": pd.Series(list(self.ranks.values()), dtype="int32"), "hex": [t.hex() for t in self.ranks]}))
+        merges = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self._table("merges", pd.DataFrame(merges, columns=["pair", "id"], dtype="int64"))
+        self._table("vocabulary", pd.DataFrame({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]}))
 
     def _table(self, name: str, rows: pd.DataFrame) -> None:
         self.db.register("rows_in", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by pairs of least rank."""
-        if not words:
-            return []
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        flat = list(map(single.__getitem__, itertools.chain.from_iterable(words)))
-        lengths = list(map(len, words))
-        self._table("bytes", pd.DataFrame({"word": pd.Series(range(len(words)), dtype="int32").repeat(lengths).to_numpy(), "pos": pd.Series(list(itertools.chain.from_iterable(map(range, lengths))), dtype="int32"), "id": pd.Series(flat, dtype="int32")}))
-        out: list[list[int]] = [[] for _ in words]
-        for word, ids in self.db.execute(MERGE).fetchall():
-            out[word] = ids
-        return out
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order, by pairs of least rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        of, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.argsort(size, kind="stable")
+        # as many words as bound the rows of all rounds; a round of a short word takes a byte at least
+        load = np.cumsum(size[order] * np.where(size[order] > SHORT, ROUNDS, (size[order] + 1) // 2)) // ROWS * 2 + (size[order] > SHORT)
+        for numbers in np.split(order, np.flatnonzero(np.diff(load)) + 1) if len(order) else ():
+            word, pos = numbered(size[numbers])
+            merged = self._long if size[numbers[0]] > SHORT else self._short
+            part = merged(word, pos, self.single[np.frombuffer(b"".join([words[i] for i in numbers.tolist()]), np.uint8)])
+            of.append(numbers[part[0]])
+            ids.append(part[1])
+        where = np.concatenate(of)
+        return np.bincount(where, minlength=len(words)), np.concatenate(ids)[np.argsort(where, kind="stable")]
+
+    def _short(self, word: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        after = np.append(ids[1:], 0)
+        after[np.append(pos[1:] == 0, True)] = 0xFFFFFFFF
+        self._table("bytes", pd.DataFrame({"place": word << 8 | pos, "pair": ids << 32 | after}))
+        rows = self.db.execute(MERGE).fetchnumpy()
+        return rows["word"], rows["id"]
+
+    def _long(self, word: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, done = {"word": word, "pos": pos, "id": ids, "live": np.ones(len(ids), bool)}, []
+        while rows["live"].any():
+            self._table("bytes", pd.DataFrame({k: rows[k][rows["live"]] for k in ("word", "pos", "id")}))
+            rounds = max(1, min(ROUNDS, ROWS // int(rows["live"].sum())))
+            rows = self.db.execute(MERGE_LONG.format(rounds=rounds)).fetchnumpy()
+            done.append([rows[k][~rows["live"]] for k in ("word", "id")])
+        of, found = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        return of[order], found[order]
+
+    def decode(self, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """Bytes of each list of ids, of which ``counts`` are the lengths; none is empty."""
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(counts) - 1] = True
+        self._table("ids", pd.DataFrame({"place": np.arange(len(ids)), "id": ids, "last": last}))
+        return list(map(bytes.fromhex, (self.db.execute(DECODE).fetchall()[0][0] or "").split(",")[:-1]))
 
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces, by their pretokens, each once."""
         tokens = list(map(self.pattern.findall, pieces))
-        if len(self.words) > KEEP:
-            self.words.clear()
-        new = list({t for part in tokens for t in part}.difference(self.words))
+        new = self.words.lacking(set(chain.from_iterable(tokens)))
+        words = self.words.new
         raw = [t.encode("utf-8", "surrogatepass") for t in new]
-        known = list(map(self.ranks.get, raw))
-        merged = iter(self.merge([t for t, i in zip(raw, known, strict=True) if i is None]))
-        ids = [next(merged) if i is None else [i] for i in known]
-        packed = array("I", itertools.chain.from_iterable(ids))
-        if sys.byteorder == "big":
-            packed.byteswap()
-        data, at = packed.tobytes(), 0
-        for token, part, back in zip(new, ids, self.decode(ids), strict=True):
-            end = at + 4 * len(part)
-            self.words[token] = (data[at:end], back)
-            at = end
-        words = self.words
+        known = [self.ranks[w] if w in self.ranks else -1 for w in raw]
+        new = [t for t, i in zip(new, known, strict=True) if i >= 0] + [t for t, i in zip(new, known, strict=True) if i < 0]
+        counts, ids = self.merge([w for w, i in zip(raw, known, strict=True) if i < 0])
+        single = np.array([i for i in known if i >= 0], np.int64)
+        counts, ids = np.append(np.ones(len(single), np.int64), counts), np.append(single, ids)
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        words.update(zip(new, zip([data[i:j] for i, j in zip([0, *ends], ends, strict=False)], self.decode(counts, ids), strict=True), strict=True))
+        kept = self.pieces.new
         for piece, part in zip(pieces, tokens, strict=True):
             if len(part) == 1:
-                self.kept[piece] = words[part[0]]
+                kept[piece] = words[piece]
             else:
                 found = [words[t] for t in part]
-                self.kept[piece] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        lengths = list(map(len, ids))
-        self._table("ids", pd.DataFrame({"piece": pd.Series(range(len(ids)), dtype="int32").repeat(lengths).to_numpy(), "pos": pd.Series(list(itertools.chain.from_iterable(map(range, lengths))), dtype="int32"), "id": pd.Series(list(itertools.chain.from_iterable(ids)), dtype="int32")}))
-        out = [b""] * len(ids)
-        for piece, data in self.db.execute(DECODE).fetchall():
-            out[piece] = bytes.fromhex(data)
-        return out
+                kept[piece] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Pieces that are pretokenised alike alone and in the text: cut before each space that stands between two characters that aren't white."""
+        """Pieces that are pretokenised alike alone and in the text: cut before each space, and around each newline, that stands between two characters that aren't white."""
+        if not CROWDED.search(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
         parts = text.split(" ")
         out, open_ = parts[:1], not parts[0] or parts[0][-1].isspace()
         for part in parts[1:]:
@@ -133,40 +189,47 @@ class Coder:
             else:
                 out.append(" " + part)
             open_ = not part or part[-1].isspace()
-        return out if text else []
+        return out
 
-    def coded(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+    def coded(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the bytes that they decode to, of each text."""
-        pieces = [self.cut(t or "") for t in texts]
-        out = []
         at = 0
-        while at < len(pieces):  # as many texts as have TOGETHER new pieces
-            new: dict[str, None] = {}
-            end = at
-            while end < len(pieces) and (end == at or len(new) < TOGETHER):
-                new.update((p, None) for p in pieces[end] if p not in self.kept)
-                end += 1
-            if len(self.kept) > KEEP:
-                self.kept.clear()
-                new = dict.fromkeys(itertools.chain.from_iterable(pieces[at:end]))
-            todo = list(new)
-            for i in range(0, len(todo), TOGETHER):
-                self.learn(todo[i : i + TOGETHER])
-            for part in pieces[at:end]:
-                found = [self.kept[p] for p in part]
-                out.append((b"".join(x[0] for x in found), b"".join(x[1] for x in found)))
-            at = end
-        return out
+        while at < len(texts):  # as many texts as have TOGETHER unlike pieces
+            cuts: list[list[str]] = []
+            wanted: set[str] = set()
+            while at < len(texts) and (not cuts or len(wanted) < 2 * TOGETHER):
+                cuts.append(self.cut(texts[at] or ""))
+                wanted.update(cuts[-1])
+                at += 1
+            new = self.pieces.lacking(wanted)
+            for i in range(0, len(new), TOGETHER):
+                self.learn(new[i : i + TOGETHER])
+            kept = self.pieces.new
+            for part in cuts:
+                found = [kept[p] for p in part]
+                yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+
+
+def numbered(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the list and position in it, for each element of lists of these lengths."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+COLUMNS = ["doc_id", "n_tokens", "ids", "decoded"]
 
 
 def coded(parts: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
+    shown: Callable[[bytes], object] = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes
     for part in parts:
         coder = held(f"bpe {path}", lambda: Coder(path))
-        for i in range(0, len(part), 512):
-            some = part.iloc[i : i + 512]
-            rows = coder.coded(list(some["text"]))
-            ids, back = ([hashlib.sha256(x[j]).hexdigest() for x in rows] for j in (0, 1)) if digest else ([x[j] for x in rows] for j in (0, 1))
-            yield pd.DataFrame({"doc_id": some["doc_id"], "n_tokens": [len(x[0]) // 4 for x in rows], "ids": ids, "decoded": back})
+        rows, size = [], 0
+        for doc_id, (ids, back) in zip(part["doc_id"], coder.coded(part["text"].tolist()), strict=True):
+            rows.append((doc_id, len(ids) // 4, shown(ids), shown(back)))
+            size += len(rows[-1][2]) + len(rows[-1][3])
+            if size > FRAME:
+                yield pd.DataFrame(rows, columns=COLUMNS)
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
 
 def encode(df: DataFrame, path: str | None = None) -> DataFrame:
