@@ -8,6 +8,7 @@ rank, until no pair of any word is left. Decoding joins ids with the vocabulary
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ from quern.llm.shared import documents, held, only
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces and pretokens that a worker keeps of each of two generations, and new ones that are encoded together; bytes of results in a frame.
-PIECES, WORDS, TOGETHER, FRAME = 75_000, 125_000, 60_000, 8_000_000
+PIECES, WORDS, TOGETHER, FRAME = 100_000, 200_000, 60_000, 8_000_000
 #: Longest word, in bytes, of which the leftmost pair alone is contracted in a round; rows that the rounds of one query add up to, about; rounds of longer words in one query.
 SHORT, ROWS, ROUNDS = 127, 3_000_000, 16
 #: Where a space or newline isn't alone between two characters that aren't white, or the mark of cuts is in the text.
@@ -157,7 +158,9 @@ class Coder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces, by their pretokens, each once."""
-        tokens = list(map(self.pattern.findall, pieces))
+        found_in = self.pattern.findall
+        # most pieces are a space and ASCII letters, which are one pretoken
+        tokens = [[p] if p.isascii() and (p[1:].isalpha() if p[0] == " " else p.isalpha()) else found_in(p) for p in pieces]
         new = self.words.lacking(set(chain.from_iterable(tokens)))
         words = self.words.new
         raw = [t.encode("utf-8", "surrogatepass") for t in new]
@@ -220,16 +223,22 @@ COLUMNS = ["doc_id", "n_tokens", "ids", "decoded"]
 
 def coded(parts: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
     shown: Callable[[bytes], object] = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes
-    for part in parts:
-        coder = held(f"bpe {path}", lambda: Coder(path))
-        rows, size = [], 0
-        for doc_id, (ids, back) in zip(part["doc_id"], coder.coded(part["text"].tolist()), strict=True):
-            rows.append((doc_id, len(ids) // 4, shown(ids), shown(back)))
-            size += len(rows[-1][2]) + len(rows[-1][3])
-            if size > FRAME:
-                yield pd.DataFrame(rows, columns=COLUMNS)
-                rows, size = [], 0
-        yield pd.DataFrame(rows, columns=COLUMNS)
+    collects = gc.isenabled()
+    gc.disable()  # many small objects are made and kept here, none of them in cycles
+    try:
+        for part in parts:
+            coder = held(f"bpe {path}", lambda: Coder(path))
+            rows, size = [], 0
+            for doc_id, (ids, back) in zip(part["doc_id"], coder.coded(part["text"].tolist()), strict=True):
+                rows.append((doc_id, len(ids) // 4, shown(ids), shown(back)))
+                size += len(rows[-1][2]) + len(rows[-1][3])
+                if size > FRAME:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=COLUMNS)
+    finally:
+        if collects:
+            gc.enable()
 
 
 def encode(df: DataFrame, path: str | None = None) -> DataFrame:
