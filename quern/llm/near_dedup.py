@@ -3,9 +3,9 @@
 Each shingle has Poisson processes over dyadic ranges of its weight, [0, 1), [1, 2), [2, 4) and so on, with rates as wide as the ranges; a point counts for a document if it lies
 under the shingle's weight there, and falls into one register of the signature. The first point of a register is the same for two documents as often as their weighted Jaccard
 similarity says. Texts with equal multisets are one text from the start. Bands of registers put like texts into buckets; the texts of buckets that hang together are compared with one leader, not with
-each other. What a leader leaves apart meets again in other buckets: two texts of which one isn't like the leader can only be like each other if they share a shingle that the
-leader has fewer of, or if both are small. In such buckets a few texts are compared with each other, more with a leader again, for ROUNDS rounds; a link between two texts that no
-round compares and no other links connect is missed. Every link is verified on whole texts by the exact overlap of the multisets.
+each other. Texts of buckets that still hold several parts are then joined exactly, whatever their bucket, by the first units of each text (a shingle's first, second, ... occurrence),
+rare ones first: two texts that are alike share a unit among the first of both, early enough to leave room for the overlap that they need. The least text of each unit is compared with
+the others, which joins most; then all pairs of texts that are still in different parts. Every link is verified on whole texts by the exact overlap of the multisets.
 """
 
 from __future__ import annotations
@@ -26,10 +26,6 @@ from quern.llm.shared import cut, documents, held, only
 SHINGLE, LIKE = 5, 0.8
 #: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
 BANDS, ROWS, POINTS = 24, 4, 4
-#: Texts of a later bucket that are compared with each other instead of with a leader, at most.
-FEW = 8
-#: Rounds of leaders.
-ROUNDS = 3
 
 
 def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +76,9 @@ def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFrame]:
-    """Compare texts x with their leaders y by the exact overlap of their multisets.
-
-    ``most`` is the size up to which a text can be like x if all that they share is the leader's too. ``beyond`` has the shingles of x that the leader has fewer of, in the order of
-    their hashes and as many as are needed to meet one of any text that is like x and shares more with it than the leader's.
-    """
+    """Compare texts x with texts y by the exact overlap of their multisets."""
     hashes = held("shingles", WordHashes)
     last: tuple = (None, None)
-    part_of = like / (1 + like)
     for part in parts:
         found = []
         for a, b, x, y in zip(part["a"], part["b"], part["x"], part["y"], strict=True):
@@ -95,15 +86,21 @@ def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFram
                 last = (b, shingles(y, hashes))
             (s, w), (z, v) = shingles(x, hashes), last[1]
             _, i, j = np.intersect1d(s, z, assume_unique=True, return_indices=True)
-            both, size = int(np.minimum(w[i], v[j]).sum()), int(w.sum())
-            have = np.zeros(len(s), np.int64)
-            have[i] = v[j]
-            more = s[w > have]
-            # units of x beyond the leader's, of which a text like x, of at least like * size, shares so many
-            spare, need = int((w - have)[w > have].sum()), max(1, int(np.ceil(part_of * size * (1 + like) - 1e-6)) - both)
-            gone = np.cumsum((w - have)[w > have])
-            found.append((a, b, both >= like * (size + int(v.sum()) - both) - 1e-9, both / part_of - size + 1e-6, more[: int(np.searchsorted(gone, spare - need + 1)) + 1].view(np.int64)))
-        yield pd.DataFrame(found, columns=["a", "b", "alike", "most", "beyond"])
+            both = int(np.minimum(w[i], v[j]).sum())
+            found.append((a, b, both >= like * (int(w.sum()) + int(v.sum()) - both) - 1e-9))
+        yield pd.DataFrame(found, columns=["a", "b", "alike"])
+
+
+def units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units of each text's multiset: its shingles, further occurrences of one under hashes of their own."""
+    hashes = held("shingles", WordHashes)
+    for part in parts:
+        rows = []
+        for rep, text in zip(part["rep"], part["text"], strict=True):
+            s, w = shingles(text, hashes)
+            again = (np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)).astype(U)
+            rows.append((rep, int(w.sum()), np.where(again > 0, mixed(np.repeat(s, w) + again * STEP), np.repeat(s, w)).view(np.int64)))
+        yield pd.DataFrame(rows, columns=["rep", "n", "units"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -134,24 +131,49 @@ def mixed_seats(seats: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(sat.join(cut(buckets.filter("low != high").select("bucket", "k", "least")), "bucket"))
 
 
-def led(shared: DataFrame, together: bool) -> DataFrame:
-    """Rows (a, b, n): texts with the leader b of their bucket, or of all buckets that hang ``together``; that is the text whose buckets are fullest, as a template's are."""
-    fame = shared.groupBy("rep", "n").agg(F.sum("k").alias("fame"))
-    if together:
-        groups = components(shared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        sat = cut(fame.join(groups.select(F.col("node").alias("rep"), F.col("part").alias("bucket")), "rep"))
-    else:
-        sat = cut(shared.select("bucket", "rep").join(fame, "rep"))
+def led(shared: DataFrame) -> DataFrame:
+    """Rows (a, b): texts with the leader b of all buckets that hang together; that is the text whose buckets are fullest, as a template's are."""
+    fame = shared.groupBy("rep").agg(F.sum("k").alias("fame"))
+    groups = components(shared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    sat = cut(fame.join(groups.select(F.col("node").alias("rep"), F.col("part").alias("bucket")), "rep"))
     top = cut(sat.groupBy("bucket").agg(F.max("fame").alias("fame")))
     leads = cut(sat.join(top, ["bucket", "fame"]).groupBy("bucket").agg(F.min("rep").alias("b")))
-    return sat.join(leads, "bucket").filter("rep != b").select(F.col("rep").alias("a"), "b", "n").distinct()
+    return sat.join(leads, "bucket").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+
+
+def prefixes(texts: DataFrame, like: float) -> DataFrame:
+    """Rows (unit, rep, n, at): the units of each text (rep, text) that a text like it can share first, in an order by the number of texts that have them; ``at`` counts the units before.
+
+    Units of one text alone come first in the order and are left out.
+    """
+    listed = cut(texts.mapInPandas(units, "rep long, n long, units array<long>"))
+    each = listed.select("rep", "n", F.explode("units").alias("unit"))
+    common = each.groupBy("unit").agg(F.count("*").alias("times")).filter("times > 1")
+    kept = each.join(common, "unit").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
+    first = F.slice("u", 1, F.greatest(F.lit(0), F.floor(F.col("n") * (1 - like) + 1e-6).cast("int") + 1 - (F.col("n") - F.size("u")).cast("int")))
+    return cut(kept.select("rep", "n", (F.col("n") - F.size("u")).alias("alone"), F.posexplode(first).alias("i", "x")).select("x.unit", "rep", "n", (F.col("alone") + F.col("i")).alias("at")))
+
+
+def candidates(heads: DataFrame, parts: DataFrame, like: float, least: bool) -> DataFrame:
+    """Rows (a, b): pairs of texts of different parts that may be alike by a unit of their ``prefixes``; of each unit those with its least text only, or all.
+
+    If the first common unit has i and j units before it, the overlap is at most what follows in either; the smaller text of a pair has it even nearer to the start.
+    """
+    part_of = like / (1 + like)
+    sat = heads.join(parts, "rep")
+    mixed_ = sat.groupBy("unit").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("lead")).filter("low != high").select("unit", "lead")
+    sat = cut(sat.join(mixed_, "unit"))
+    small = sat.filter(F.col("at") <= F.col("n") * (1 - 2 * part_of) + 1e-6).select("unit", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("at").alias("j"))
+    fit = (F.col("part") != F.col("q")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("rep")))) & (F.col("m") >= like * F.col("n") - 1e-6)
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("j")) >= part_of * (F.col("n") + F.col("m")) - 1e-6
+    led_ = (F.col("rep") == F.col("lead")) | (F.col("b") == F.col("lead")) if least else F.lit(True)
+    return sat.join(small, "unit").filter(fit & room & led_).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def across(shared: DataFrame, like: float) -> DataFrame:
-    """Rows (a, b): the pairs of texts of different parts that share a bucket; for buckets of bounded size."""
-    other = shared.select("bucket", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"))
-    pairs = shared.join(other, "bucket").filter((F.col("rep") < F.col("b")) & (F.col("part") != F.col("q")) & (F.least("n", "m") >= F.greatest("n", "m") * (like - 1e-9)))
-    return pairs.select(F.col("rep").alias("a"), "b").distinct()
+def verified(pairs: DataFrame, bodies: DataFrame, like: float) -> DataFrame:
+    """Rows (a, b, alike) of pairs (a, b)."""
+    bodied = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(compared, like=like), "a long, b long, alike boolean"))
 
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,7 +183,7 @@ def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(moved.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("rep", F.coalesce("to", "part").alias("part"))
 
 
-def near_classes(df: DataFrame, like: float = LIKE, rounds: int = ROUNDS) -> DataFrame:
+def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     """Rows (doc_id, class_id, class_size), one for each row of ``df`` (doc_id, text): documents linked by a similarity of ``like`` or more, directly or through others.
 
     ``class_id`` is the least doc_id of the class. Texts with equal multisets of shingles are alike; texts without words are one class. Texts of one to four words are one shingle.
@@ -171,29 +193,20 @@ def near_classes(df: DataFrame, like: float = LIKE, rounds: int = ROUNDS) -> Dat
     rows = cut(texts.mapInPandas(signed, "doc_id long, digest binary, n long, bands array<long>"))
     first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     bands = rows.join(first.select("digest", "rep"), "digest").filter("doc_id = rep")
-    seats = bands.select("rep", "n", F.posexplode("bands").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("bucket"))
+    seats = bands.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-    seats = cut(seats.join(shared, "bucket").select("bucket", "rep", "n"))
+    seats = cut(seats.join(shared, "bucket").select("bucket", "rep"))
     parts = cut(seats.select("rep").distinct().select("rep", F.col("rep").alias("part")))
     bodies = cut(texts.join(parts.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"))
-    for level in range(rounds):
-        shared = mixed_seats(seats, parts)
-        if shared.isEmpty():
-            break
-        stars = cut(led(shared.filter(F.col("k") > FEW) if level else shared, together=not level))
-        pairs = stars.select("a", "b")
-        if level:
-            pairs = cut(pairs.unionByName(across(shared.filter(F.col("k") <= FEW), like)).distinct())
-        bodied = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        found = cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(compared, like=like), "a long, b long, alike boolean, most double, beyond array<long>"))
-        parts = cut(joined(parts, found.filter("alike").select("a", "b")))
-        # what a star leaves apart can only be alike through what its leader lacks, or if it is small
-        apart = stars.join(found, ["a", "b"]).join(parts.withColumnRenamed("rep", "a"), "a")
-        mixed_ = cut(apart.groupBy("b").agg(F.min("n").alias("least"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("b", "least"))
-        rest = apart.join(mixed_, "b")
-        beyond = rest.select(F.col("a").alias("rep"), "n", "b", F.explode("beyond").alias("s")).select(F.xxhash64("b", "s").alias("bucket"), "rep", "n")
-        small = rest.filter("most >= least").select(F.xxhash64("b", F.lit("small")).alias("bucket"), F.col("a").alias("rep"), "n")
-        seats = cut(beyond.unionByName(small))
+    shared = mixed_seats(seats, parts)
+    if not shared.isEmpty():
+        parts = cut(joined(parts, verified(led(shared), bodies, like).filter("alike").select("a", "b")))
+        # what is apart in a bucket is alike only if its units say so
+        apart = mixed_seats(seats, parts).select("rep").distinct()
+        heads = prefixes(bodies.select(F.col("doc_id").alias("rep"), "text").join(apart.hint("shuffle_hash"), "rep", "left_semi"), like)
+        for least in (True, False):
+            found = verified(candidates(heads, parts, like, least), bodies, like)
+            parts = cut(joined(parts, found.filter("alike").select("a", "b")))
     named = first.join(parts, "rep", "left").select("digest", "copies", F.coalesce("part", "rep").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     named = cut(named.join(sizes, "class_id").select("digest", "class_id", "class_size"))

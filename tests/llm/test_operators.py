@@ -173,3 +173,15 @@ def test_classifier(spark, docs, empty):
     assert set(quality_classifier.fit(table, table.select("doc_id", "label").limit(0)).scores(quality_classifier.counted(["a"], quality_classifier.Features()))) == {0.5}
     kept = quality_classifier.keep_good(table, model)
     assert kept.columns == table.columns and {r.doc_id for r in kept.filter("doc_id >= 80").collect()} >= {i for i in range(80, 120) if i % 2}
+
+
+def test_near_nested(spark):
+    rng = random.Random(7)
+    words, rows = [f"n{i}" for i in range(900)], []
+    for family in range(2):  # versions that grow, each like its neighbours only, and a part of each that is like none
+        text = rng.choices(words, k=900)
+        rows += [" ".join(text[: int(60 * 1.06**i)]) for i in range(45)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == near_dedup.brute_force(rows)
