@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked through their group. Groups larger than a small part of a shard are first cut into chunks by a hash of doc_id, since no shard could take them.
-In each round a join gives every document the shard where most of its chunk lies, and documents move there as far as the shards' quotas allow; the share that may enter a shard
-is drawn by a hash of the chunk, so that chunks move together. At the end a distributed ranking gives each shard exactly its number of rows, moving the surplus of full shards.
+Documents with equal texts are linked through their group. Groups larger than a small part of a shard, of which there are few, are placed first, largest first, each in one shard; only
+a group that no shard has room for is cut, into as few parts as fill the emptiest shards. In each round a join gives every other document the shard where most of its group lies, and
+documents move there as far as the shards' quotas allow; the share that may enter a shard is drawn by a hash of the group, so that groups move together. At the end a distributed ranking gives each shard exactly its number of rows, moving the surplus of full shards.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import cut, documents, only
 
 SHARDS, ROUNDS = 16, 3
-#: Rows of a chunk at most, about, as a part of a shard; rows in a range of slots, about; how far above its quota a shard may be while documents move.
+#: Rows of a group that is not placed first, at most, as a part of a shard; rows in a range of slots, about; how far above its quota a shard may be while documents move.
 PART, RANGE, SLACK = 32, 256, 0.05
 
 
@@ -31,8 +31,17 @@ def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFram
     rows = base.count()
     most = max(8, rows // (shards * PART))
     groups = base.groupBy("sha").agg(F.count("*").alias("times"))
-    chunk = F.xxhash64("sha", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("times") / most)))
-    placed = base.join(groups, "sha").select("doc_id", "size", "text_crc32", "h", chunk.alias("chunk"), (F.col("times") > 1).alias("linked"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    quotas = [rows // shards + (i < rows % shards) for i in range(shards)]
+    large = groups.filter(F.col("times") > most).collect()  # shards * PART at most
+    plan, free = planned(sorted(((r.sha, r.times) for r in large), key=lambda g: (-g[1], bytes(g[0]))), quotas)
+    fixed = F.broadcast(df.sparkSession.createDataFrame(plan, "sha binary, piece int, start long, end long, to int"))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), "times")
+    found = base.join(groups, "sha").withColumn("at", at).join(fixed.withColumnRenamed("sha", "key"), (F.col("sha") == F.col("key")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(free))))
+    dealt = sum(((draw >= sum(free[: i + 1])).cast("int") for i in range(shards - 1)), F.lit(0))
+    placed = found.select(
+        "doc_id", "size", "text_crc32", "h", F.xxhash64("sha", F.coalesce("piece", F.lit(0))).alias("chunk"), F.col("to").isNotNull().alias("fixed"), (F.col("to").isNull() & (F.col("times") > 1)).alias("linked"), F.coalesce("to", dealt).alias("shard")
+    )
     placed = cut(placed)
     quota = rows / shards * (1 + SLACK)
     for step in range(rounds):
@@ -48,6 +57,20 @@ def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFram
     return slots(placed, rows, shards)
 
 
+def planned(groups: list[tuple[bytes, int]], quotas: list[int]) -> tuple[list[tuple[bytes, int, int, int, int]], list[int]]:
+    """Pieces (sha, number, start, end, shard) of groups (sha, times), and the rows that are left to each shard; a piece is a whole group where a shard has room for it."""
+    free, plan = list(quotas), []
+    for sha, times in groups:
+        start, number = 0, 0
+        while start < times:
+            fits = [s for s, n in enumerate(free) if n >= times - start]
+            to = min(fits, key=lambda s: (free[s], s)) if fits else max(range(len(free)), key=lambda s: (free[s], -s))
+            n = min(free[to], times - start)
+            plan.append((bytes(sha), number, start, start + n, to))
+            free[to], start, number = free[to] - n, start + n, number + 1
+    return plan, free
+
+
 def entering(flows: dict[tuple[int, int], int], shards: int, quota: float) -> list[float]:
     """Share of the documents that ask to enter each shard which may, such that none ends above ``quota`` even if nobody who asked to leave does."""
     stay = [sum(n for (a, _), n in flows.items() if a == s) for s in range(shards)]
@@ -61,9 +84,9 @@ def entering(flows: dict[tuple[int, int], int], shards: int, quota: float) -> li
 
 
 def slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:
-    """Rank the rows of each shard by ranges of their chunks' hashes; rows ranked above their shard's number fill the gaps of others."""
+    """Rank the rows of each shard, those of groups placed first before others, by ranges of hashes; rows ranked above their shard's number fill the gaps of others."""
     ranges = max(1, rows // (shards * RANGE))
-    ranged = placed.withColumn("range", F.pmod(F.xxhash64("chunk", F.lit(2)), F.lit(ranges)))
+    ranged = placed.withColumn("range", F.when(F.col("fixed"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ranges)) - ranges).otherwise(F.pmod(F.xxhash64("chunk", F.lit(2)), F.lit(ranges))))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("shard", "range").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
     within = Window.partitionBy("shard", "range").orderBy("chunk", "doc_id", "h")

@@ -185,3 +185,14 @@ def test_near_nested(spark):
     rows = list(enumerate(rows))
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == near_dedup.brute_force(rows)
+
+
+def test_sharding_keeps_groups(spark):
+    rows = [(i, f"single {i}") for i in range(150)] + [(1000 * g + i, f"copy {g}") for g, n in ((1, 60), (2, 40), (3, 150)) for i in range(n)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    where: dict[int, set] = {}
+    for r in got:
+        where.setdefault(r.doc_id // 1000, set()).add(r.shard)
+    assert [len(where[g]) for g in (1, 2)] == [1, 1] and len(where[3]) <= 3
+    assert sorted(sum(r.shard == s for r in got) for s in range(4)) == [100] * 4
+    assert sharding.planned([(b"a", 150), (b"b", 60)], [100] * 4) == ([(b"a", 0, 0, 100, 0), (b"a", 1, 100, 150, 1), (b"b", 0, 0, 60, 2)], [0, 50, 40, 100])
