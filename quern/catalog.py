@@ -1,11 +1,11 @@
 """All queries by name, over the test tables, and their SQL for DuckDB.
 
-The corpus is the table documents, named doc<id>. Links lead from a click's user to the user of the day's next event, so that the graph has cycles and nodes without targets.
+The corpus is the table documents, named doc<id>. Links lead from a click's user to the user of the day's next event, which gives cycles, and from an error's user to the node of its
+hour, which has no targets. Queries that search read an index that is saved once for each folder of tables and session.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from quern.functions.tokens import PATTERNS, basename, diacritics, tokens
 from quern.operators import graph, index, search, spell
 from quern.plans.query import Query, QueryType, RankingType, matches
 from quern.sources import files
+from quern.sources.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,20 +43,45 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return index.occurrences(docs(spark, d))
 
 
+#: Number of the first of the nodes that stand for hours.
+HOURS = 1_000_000_000
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
     day = Window.partitionBy(F.to_date("ts")).orderBy("ts")
-    steps = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("src"), F.lead("user_id").over(day).alias("dst"), "event_type")
-    return steps.filter("event_type = 'click' AND dst IS NOT NULL").select("src", "dst").distinct()
+    steps = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(day).alias("dst"), "event_type").filter("event_type = 'click' AND dst IS NOT NULL")
+    errors = events.filter("event_type = 'error'").select(F.col("user_id").alias("src"), (F.hour("ts") + HOURS).cast("long").alias("dst"))
+    return steps.select("src", "dst").union(errors).distinct()
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("node_id")).distinct()
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("node_id"))
+    return users.union(edges(spark, d).select("dst")).distinct()
+
+
+#: Folders of saved indexes, by session and folder of tables.
+SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved(spark: SparkSession, d: str) -> str:
+    """The folder of the index of the documents in ``d``; it is built when first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SAVED:
+        path = new_path(spark)
+        index.Index.over(docs(spark, d)).save(path)
+        SAVED[key] = path
+    return SAVED[key]
+
+
+def loaded(spark: SparkSession, d: str) -> index.Index:
+    return index.Index.load(spark, saved(spark, d))
 
 
 def engine(spark: SparkSession, d: str, ranks: bool = False) -> search.SearchEngine:
     e, n = edges(spark, d), nodes(spark, d)
     scores = graph.pagerank(e, n, 0, epsilon=None, steps=STEPS).withColumn("title", F.concat(F.lit("doc"), F.col("node_id").cast("string"))) if ranks else None
-    return search.SearchEngine.over(docs(spark, d), e, n, scores)
+    return search.SearchEngine.load(spark, saved(spark, d), e, n, scores)
 
 
 def joined_list(name: str) -> Column:
@@ -64,7 +90,8 @@ def joined_list(name: str) -> Column:
 
 OCC = r"""occ AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t)))::INTEGER AS "offset" FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}0-9]+') AS t FROM documents))"""
 TF = f"""{OCC}, len AS (SELECT doc_id, count(*) AS n FROM occ GROUP BY 1), tf AS (SELECT term, doc_id, count(*) AS tf FROM occ GROUP BY 1, 2), df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1)"""
-EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS dst, event_type FROM events) WHERE event_type = 'click' AND dst IS NOT NULL), nodes AS (SELECT DISTINCT user_id AS node_id FROM events)"""
+EDGES = f"""edges AS (SELECT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS dst, event_type FROM events) WHERE event_type = 'click' AND dst IS NOT NULL
+ UNION SELECT user_id, {HOURS} + hour(ts) FROM events WHERE event_type = 'error'), nodes AS (SELECT user_id AS node_id FROM events UNION SELECT dst FROM edges)"""
 
 
 def tokens_sql(text: str, pattern: str) -> str:
@@ -88,6 +115,45 @@ def pagerank_sql(steps: int) -> str:
     return ", ".join(out)
 
 
+def settled_sql(steps: int, name: str = "move", epsilon: float = graph.EPSILON) -> str:
+    """The first of the steps r1, r2, ... after which no score moves by more than ``epsilon``."""
+    moves = " UNION ALL ".join(f"SELECT {i} AS step, max(abs(a.score - b.score)) AS {name} FROM r{i} a JOIN r{i - 1} b USING (node_id)" for i in range(1, steps + 1))
+    return f"last AS MATERIALIZED (SELECT min(step) AS step FROM ({moves}) WHERE {name} <= {epsilon}), done AS (" + " UNION ALL ".join(f"SELECT * FROM r{i} WHERE (SELECT step FROM last) = {i}" for i in range(1, steps + 1)) + ")"
+
+
+def drawn_sql(*parts: str) -> str:
+    return f"('0x' || md5(concat_ws(':', {', '.join(parts)}))[1:15])::BIGINT"
+
+
+def monte_carlo_sql(cyclic: bool, complete: bool) -> str:
+    first = "walk % (SELECT n FROM n)" if cyclic else f"{drawn_sql('walk', '0', '-1')} % (SELECT n FROM n)"
+    at_end = "NULL" if complete else f"(SELECT o.node_id FROM ord o WHERE o.nr = {drawn_sql('w.walk', '0', 'w.step', '3')} % (SELECT n FROM n))"
+    go = f"{drawn_sql('w.walk', '0', 'w.step', '1')} % 100 < 85"
+    return f"""{EDGES}, n AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS out FROM edges GROUP BY 1),
+ ord AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY {drawn_sql("node_id")}, node_id) - 1 AS nr FROM nodes), links AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {drawn_sql("dst")}, dst) - 1 AS nr FROM edges),
+ walkers AS MATERIALIZED (SELECT walk, ord.node_id FROM (SELECT walk, {first} AS nr FROM (SELECT unnest(range((SELECT n FROM n))) AS walk)) JOIN ord USING (nr)),
+ w AS (SELECT walk, node_id, 0 AS step FROM walkers UNION ALL
+  SELECT walk, node_id, step + 1 FROM (SELECT w.walk, w.step, CASE WHEN d.out IS NULL THEN {at_end} ELSE (SELECT l.dst FROM links l WHERE l.src = w.node_id AND l.nr = {drawn_sql("w.walk", "0", "w.step", "2")} % d.out) END AS node_id
+   FROM w LEFT JOIN deg d ON d.src = w.node_id WHERE {go}) WHERE node_id IS NOT NULL),
+ ends AS (SELECT node_id, count(*) AS k FROM w {"" if complete else f"WHERE NOT ({go})"} GROUP BY 1), mc AS (SELECT node_id, coalesce(k, 0) / (SELECT sum(k) FROM ends) AS score FROM nodes LEFT JOIN ends USING (node_id))"""
+
+
+def monte_carlo_rows(cyclic: bool, complete: bool) -> str:
+    return f"WITH RECURSIVE {monte_carlo_sql(cyclic, complete)} SELECT node_id, round(score, 9) AS score FROM mc"
+
+
+def patterns_sql() -> str:
+    match = "coalesce(" + ", ".join("nullif(regexp_extract(rest, '" + p.replace("'", "''") + "'), '')" for p in PATTERNS) + ")"
+    plain = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}0-9]+')"
+    return rf"""WITH RECURSIVE chunks AS (SELECT doc_id, unnest(range(len(c))) AS nr, unnest(c) AS chunk FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}!-~]+') AS c FROM documents)),
+ split AS (SELECT doc_id, nr, chunk AS rest, CAST([] AS VARCHAR[]) AS t FROM chunks WHERE regexp_matches(chunk, '[^\w]|_|[A-Za-z]\d') UNION ALL
+  SELECT doc_id, nr, CASE WHEN m IS NULL THEN '' ELSE rest[strpos(rest, m) + len(m):] END, t || CASE WHEN m IS NULL THEN {plain("rest")} ELSE {plain("rest[:strpos(rest, m) - 1]")} || [m] END
+  FROM (SELECT *, {match} AS m FROM split WHERE rest <> '')),
+ whole AS (SELECT doc_id, nr, t FROM split WHERE rest = '' UNION ALL SELECT doc_id, nr, {plain("chunk")} FROM chunks WHERE NOT regexp_matches(chunk, '[^\w]|_|[A-Za-z]\d')),
+ each AS (SELECT doc_id, nr, unnest(range(len(t))) AS j, unnest(t) AS token FROM whole)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nr, j) - 1)::INTEGER AS "offset", token FROM each"""
+
+
 def hits_sql(steps: int, links: str, members: str) -> str:
     out = [f"h0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS authority FROM {members})"]
     for i in range(1, steps + 1):
@@ -173,12 +239,12 @@ def tokenize_keep_punct(spark: SparkSession, d: str) -> DataFrame:
     return token_rows(spark, d, remove_punctuation=False)
 
 
-@query(tokens_sql("translate(lower(text), '{}', '{}')".format(*diacritics()), r"[\p{L}0-9]+"))
+@query(tokens_sql("lower(translate(text, '{}', '{}'))".format(*diacritics()), r"[\p{L}0-9]+"))
 def tokenize_nodiacritics(spark: SparkSession, d: str) -> DataFrame:
     return token_rows(spark, d, remove_diacritics=True)
 
 
-@query()
+@query(patterns_sql())
 def tokenize_patterns(spark: SparkSession, d: str) -> DataFrame:
     return token_rows(spark, d, patterns=PATTERNS)
 
@@ -196,7 +262,7 @@ POSTINGS = f"""WITH {OCC} SELECT term, doc_id, count(*)::INTEGER AS tf, string_a
 
 @query(POSTINGS + " GROUP BY 1, 2")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return index.inverted_index(found(spark, d)).select("term", "doc_id", "tf", joined_list("offsets"))
+    return index.postings(docs(spark, d)).select("term", "doc_id", "tf", joined_list("offsets"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}0-9]+'))::INTEGER AS doc_len FROM documents""")
@@ -206,22 +272,28 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(POSTINGS + f" WHERE term = '{WORD}' GROUP BY 1, 2")
 def term_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return index.inverted_index(found(spark, d).filter(F.col("term") == WORD)).select("term", "doc_id", "tf", joined_list("offsets"))
+    return loaded(spark, d).postings.filter(F.col("term") == WORD).select("term", "doc_id", "tf", joined_list("offsets"))
 
 
 @query(f"WITH {TF} SELECT term, df FROM df")
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return index.document_frequency(found(spark, d))
+    return index.dictionary(index.postings(docs(spark, d))).select("term", "df")
 
 
 @query(f"WITH {TF} SELECT term, doc_id, tf FROM tf")
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_frequency(found(spark, d))
+    return index.postings(docs(spark, d)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"WITH {TF} SELECT term, df, cf FROM df")
 def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_dictionary(found(spark, d))
+    return index.dictionary(index.postings(docs(spark, d)))
+
+
+@query(f"WITH {OCC} SELECT doc_id || ';doc' || doc_id || ';' || count(*) AS line FROM occ GROUP BY doc_id")
+def documents_codec(spark: SparkSession, d: str) -> DataFrame:
+    lines = files.encode_documents(loaded(spark, d).documents)
+    return files.encode_documents(files.decode_documents(lines))
 
 
 @query(f"WITH {OCC} SELECT DISTINCT unnest(list_transform(range(1, len(term) + 2), lambda i: ('^' || term || '$')[i:i + 1])) AS gram, term FROM (SELECT DISTINCT term FROM occ)")
@@ -236,39 +308,34 @@ def doc_term_vector(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OCC} SELECT DISTINCT doc_id FROM occ WHERE term = 'tion' AND doc_id IN (SELECT doc_id FROM occ WHERE term = '{WORD}')")
 def postings_intersect(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
-    return index.intersect(f.filter("term = 'tion'"), f.filter(F.col("term") == WORD))
+    lists = loaded(spark, d).postings
+    return index.intersect(lists.filter("term = 'tion'"), lists.filter(F.col("term") == WORD))
 
 
 @query(POSTINGS + f" WHERE term IN ('tion', '{WORD}') GROUP BY 1, 2")
 def postings_merge(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
-    return index.merge(*[index.inverted_index(f.filter(F.col("term") == t)) for t in ("tion", WORD)]).select("term", "doc_id", "tf", joined_list("offsets"))
-
+    lists = loaded(spark, d).postings
+    return index.merge(*[lists.filter(F.col("term") == t) for t in ("tion", WORD)]).select("term", "doc_id", "tf", joined_list("offsets"))
 
-def folder(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/quern-{uuid.uuid4().hex}"
 
-
-@query(POSTINGS + f" WHERE term IN ('the', '{WORD}') GROUP BY 1, 2")
+@query(POSTINGS + " GROUP BY 1, 2")
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark)
-    files.save_index(index.inverted_index(found(spark, d)), path)
-    return files.load_index(spark, path).filter(F.col("term").isin("the", WORD)).select("term", "doc_id", "tf", joined_list("offsets"))
+    path = new_path(spark)
+    index.Index.over(docs(spark, d)).save(path)
+    return index.Index.load(spark, path).postings.select("term", "doc_id", "tf", joined_list("offsets"))
 
 
 @query(POSTINGS + " GROUP BY 1, 2")
 def index_segment_merge(spark: SparkSession, d: str) -> DataFrame:
-    path, all_docs = folder(spark), docs(spark, d)
+    path, all_docs = new_path(spark), docs(spark, d)
     for part in range(2):
-        index.inverted_index(index.occurrences(all_docs.filter(F.col("doc_id") % 2 == part))).write.mode("append").parquet(path)
-    return index.merge(files.load_index(spark, path)).select("term", "doc_id", "tf", joined_list("offsets"))
+        index.save_postings(index.postings(all_docs.filter(F.col("doc_id") % 2 == part)), path, "append")
+    return index.merge(spark.read.parquet(path)).select("term", "doc_id", "tf", joined_list("offsets"))
 
 
-@query(f"""WITH {OCC}, p AS (SELECT term, doc_id, string_agg("offset"::VARCHAR, ',' ORDER BY "offset") AS o FROM occ WHERE term LIKE 'tion%' GROUP BY 1, 2) SELECT term, term || ';' || string_agg('~' || doc_id || ',' || o || ',', '' ORDER BY doc_id) AS line FROM p GROUP BY 1""")
+@query(f"""WITH {OCC}, p AS (SELECT term, doc_id, string_agg("offset"::VARCHAR, ',' ORDER BY "offset") AS o FROM occ GROUP BY 1, 2) SELECT term, doc_id // 100000 AS block, term || ';' || string_agg('~' || doc_id || ',' || o || ',', '' ORDER BY doc_id) AS line FROM p GROUP BY 1, 2""")
 def postings_codec(spark: SparkSession, d: str) -> DataFrame:
-    postings = index.inverted_index(found(spark, d).filter(F.col("term").startswith("tion")))
-    return files.encode_postings(files.decode_postings(files.encode_postings(postings)))
+    return files.encode_postings(files.decode_postings(files.encode_postings(index.postings(docs(spark, d)))))
 
 
 # --- search ---
@@ -290,16 +357,22 @@ def search_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OCC} SELECT doc_id, count(DISTINCT term) AS n_terms FROM occ WHERE term IN ('{WORD}', 'thble') GROUP BY 1")
 def search_union(spark: SparkSession, d: str) -> DataFrame:
-    return search.union(found(spark, d), Query.parse(f"{WORD} thble"))
+    query_ = Query.parse(f"{WORD} thble")
+    return search.union(engine(spark, d).occurrences(query_), query_)
 
 
 @query(f"WITH {OCC} SELECT term FROM (SELECT DISTINCT term FROM occ) WHERE contains('^' || term || '$', '^t') AND contains('^' || term || '$', 'on') AND contains('^' || term || '$', 'n$')")
 def kgram_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return index.kgram_lookup(index.kgram_index(found(spark, d).select("term").distinct()), ["^t", "on", "n$"])
+    return index.kgram_lookup(loaded(spark, d).grams, ["^t", "on", "n$"])
+
+
+@query(f"WITH {OCC} SELECT term FROM (SELECT DISTINCT term FROM occ) WHERE contains('^' || term || '$', '^t') AND contains('^' || term || '$', 'on') ORDER BY term LIMIT 10")
+def kgram_lookup_first(spark: SparkSession, d: str) -> DataFrame:
+    return index.kgram_lookup(loaded(spark, d).grams, ["^t", "on"]).orderBy("term").limit(10)
 
 
 def terms_like(spark: SparkSession, d: str, pattern: str) -> DataFrame:
-    return found(spark, d).filter(matches(pattern, F.col("term"))).select("term").distinct()
+    return loaded(spark, d).fitting(pattern)
 
 
 @query(f"WITH {OCC} SELECT DISTINCT term FROM occ WHERE starts_with(term, 'tion')")
@@ -397,9 +470,8 @@ def relevance_feedback_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TF}, {FEEDBACK}, {tfidf_sql('SELECT term, weight FROM fb')} SELECT doc_id, round(score, 6) AS score FROM scores")
 def search_feedback_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
-    weights = search.feedback_weights(f, Query.parse("the tion"), [7, 11])
-    return rounded(search.tf_idf(f, index.doc_lengths(docs(spark, d)), weights))
+    weights = search.feedback_weights(found(spark, d), Query.parse("the tion"), [7, 11])
+    return rounded(search.tf_idf(loaded(spark, d), weights))
 
 
 # --- spelling ---
@@ -407,34 +479,32 @@ def search_feedback_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TF}, {jaccard_sql(TYPO)} SELECT term, round(jaccard, 6) AS jaccard FROM jac")
 def spell_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return spell.jaccard(index.document_frequency(found(spark, d)), TYPO).select("term", F.round("jaccard", 6).alias("jaccard"))
+    return spell.jaccard(loaded(spark, d).terms, TYPO).select("term", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"WITH {OCC} SELECT term, ({distance_sql('term', TYPO)})::INTEGER AS distance FROM (SELECT DISTINCT term FROM occ) WHERE distance <= 2")
 def spell_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     from quern.functions.tokens import edit_distance
 
-    terms = found(spark, d).select("term").distinct().filter(F.levenshtein("term", F.lit(TYPO)) <= 2)
+    terms = loaded(spark, d).terms.select("term").filter(F.levenshtein("term", F.lit(TYPO)) <= 2)
     return terms.select("term", edit_distance(F.col("term"), F.lit(TYPO)).alias("distance")).filter("distance <= 2")
 
 
 @query(f"WITH {candidates_sql(TYPO)} SELECT term, round(jaccard, 6) AS jaccard, distance, df, round(score, 6) AS score FROM cand")
 def spell_candidates(spark: SparkSession, d: str) -> DataFrame:
-    near = spell.candidates(index.document_frequency(found(spark, d)), TYPO)
+    near = spell.candidates(spell.sharing(loaded(spark, d), TYPO), TYPO)
     return near.select("term", F.round("jaccard", 6).alias("jaccard"), "distance", "df", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {candidates_sql(TYPO)} SELECT term AS suggestion, round(score, 6) AS score FROM cand ORDER BY cand.score DESC, term LIMIT 10")
 def spell_check_single(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
-    return rounded(spell.check(f, index.document_frequency(f), TYPO))
+    return rounded(spell.check(loaded(spark, d), TYPO))
 
 
 @query(f"""WITH {candidates_sql(TYPO)}, c AS (SELECT term, score, row_number() OVER (ORDER BY score DESC, term) AS nr, count(*) OVER () AS n FROM cand), b AS (SELECT * FROM c WHERE nr <= least(n // 2 + 1, 6)),
  p AS (SELECT b.term || ' of' AS suggestion, (b.score + 1) * (SELECT count(*) FROM tf x JOIN tf y USING (doc_id) WHERE x.term = b.term AND y.term = 'of') AS score FROM b) SELECT suggestion, round(score, 6) AS score FROM p ORDER BY p.score DESC, suggestion LIMIT 10""")
 def spell_check_phrase(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
-    return rounded(spell.check(f, index.document_frequency(f), f"{TYPO} of"))
+    return rounded(spell.check(loaded(spark, d), f"{TYPO} of"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 50 THEN text[:50] || '...' ELSE text END AS shown FROM documents")
@@ -462,9 +532,13 @@ def ranks(spark: SparkSession, d: str, steps: int = STEPS) -> DataFrame:
 PAGERANK = f"WITH {pagerank_sql(STEPS)}"
 
 
-@query(f"WITH {pagerank_sql(5)} SELECT node_id, round(score, 6) AS score FROM r5")
+#: Steps that the SQL spells out for iterations that stop by themselves; they stop earlier.
+ENOUGH = 20
+
+
+@query(f"WITH {pagerank_sql(ENOUGH)}, {settled_sql(ENOUGH)} SELECT node_id, round(score, 6) AS score FROM done")
 def pagerank_dense(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ranks(spark, d, 5))
+    return rounded(graph.pagerank(edges(spark, d), nodes(spark, d), 0, steps=100))
 
 
 @query(f"{PAGERANK} SELECT node_id, round(score, 6) AS score FROM r{STEPS}")
@@ -478,34 +552,41 @@ def pagerank_top30(spark: SparkSession, d: str) -> DataFrame:
     return best.orderBy(F.desc("score"), "node_id").limit(30).select("node_id", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {pagerank_sql(STEPS)} SELECT round(sum(power(a.score - b.score, 2)), 9) AS sse FROM r{STEPS} a JOIN r{STEPS - 5} b USING (node_id)")
+@query(f"WITH RECURSIVE {monte_carlo_sql(True, True)}, {pagerank_sql(STEPS).removeprefix(EDGES + ', ').replace('n AS (SELECT count(*)::DOUBLE AS n FROM nodes), ', '').replace('deg AS (SELECT src, count(*) AS out FROM edges GROUP BY 1), ', '')}, truth AS (SELECT node_id, round(score, 5) AS score FROM r{STEPS} ORDER BY round(score, 9) DESC, node_id LIMIT 30) SELECT round(sum(power(mc.score - truth.score, 2)), 9) AS sse FROM mc JOIN truth USING (node_id)")
 def pagerank_sse(spark: SparkSession, d: str) -> DataFrame:
-    return graph.squared_error(ranks(spark, d), ranks(spark, d, STEPS - 5)).select(F.round("sse", 9).alias("sse"))
+    lines = pagerank_top30(spark, d).select(F.format_string("%s: %.5f", F.col("node_id").cast("string"), "score").alias("value"))
+    truth = files.parse_truth(lines).withColumn("node_id", F.col("node_id").cast("long"))
+    walked = graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=True, complete=True)
+    return graph.squared_error(walked, truth).select(F.round("sse", 9).alias("sse"))
 
 
-@query()
+@query(monte_carlo_rows(False, False))
 def mc_endpoint_random(spark: SparkSession, d: str) -> DataFrame:
-    return graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=False, complete=False)
+    walked = graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=False, complete=False)
+    return walked.withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(monte_carlo_rows(True, False))
 def mc_endpoint_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    return graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=True, complete=False)
+    walked = graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=True, complete=False)
+    return walked.withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(monte_carlo_rows(True, True))
 def mc_complete_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    return graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=True, complete=True)
+    walked = graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=True, complete=True)
+    return walked.withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(monte_carlo_rows(False, True))
 def mc_complete_random(spark: SparkSession, d: str) -> DataFrame:
-    return graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=False, complete=True)
+    walked = graph.monte_carlo(edges(spark, d), nodes(spark, d), cyclic=False, complete=True)
+    return walked.withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {BASE} SELECT src, dst FROM near")
 def hits_base_set(spark: SparkSession, d: str) -> DataFrame:
-    root = search.union(found(spark, d), Query.parse(f"{WORD} thble")).select(F.col("doc_id").alias("node_id"))
+    root = search_union(spark, d).select(F.col("doc_id").alias("node_id"))
     return graph.base_set(edges(spark, d), root, nodes(spark, d))[0]
 
 

@@ -34,9 +34,16 @@ PATTERNS = (
 )
 
 
+# Letters from U+00C0 to U+017E that don't decompose.
+WHOLE_LETTERS = {
+    "Æ": "E", "Ð": "D", "Ø": "O", "Þ": "T", "ß": "S", "æ": "e", "ð": "d", "ø": "o", "þ": "t", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ĳ": "I", "ĳ": "i", "ĸ": "k",
+    "Ŀ": "L", "ŀ": "l", "Ł": "L", "ł": "l", "ŉ": "n", "Ŋ": "N", "ŋ": "n", "Œ": "O", "œ": "o", "Ŧ": "T", "ŧ": "t",
+}
+
+
 def diacritics() -> tuple[str, str]:
-    """Letters from U+00C0 to U+017E that decompose, and the letters that they are built on."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x17F)]
+    """Letters from U+00C0 to U+017E, and the plain letters that they are built on or stand near."""
+    pairs = [(chr(c), WHOLE_LETTERS.get(chr(c), unicodedata.normalize("NFD", chr(c))[0])) for c in range(0xC0, 0x17F)]
     pairs = [(a, b) for a, b in pairs if a != b]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -45,9 +52,9 @@ def prepared(text: Column, case_folding: bool, remove_diacritics: bool, strict:
     text = F.coalesce(text, F.lit(""))
     if strict:  # a chunk that the end of the text cuts off is lost
         text = F.regexp_replace(text, CHUNK + r"\z", "")
-    if case_folding:
-        text = F.lower(text)
-    return F.translate(text, *diacritics()) if remove_diacritics else text
+    if remove_diacritics:
+        text = F.translate(text, *diacritics())
+    return F.lower(text) if case_folding else text
 
 
 def split_chunk(chunk: str, patterns: list[re.Pattern], plain: re.Pattern) -> list[str]:

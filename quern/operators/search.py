@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import basename
@@ -36,24 +36,27 @@ def union(found: DataFrame, query: Query) -> DataFrame:
     return placed(found, query).groupBy("doc_id").agg(F.countDistinct("term").alias("n_terms"))
 
 
-def expanded(found: DataFrame, query: Query) -> DataFrame:
-    """Rows (term, weight): a query's terms; with wildcards each term that fits once, and all weights are 1."""
+def expanded(index_: index.Index, query: Query) -> dict[str, float] | DataFrame:
+    """Weights of a query's terms; with wildcards each term that fits counts once, and all weights are 1. Rows (term, weight) where those are many."""
     if query.has_wildcard:
-        return found.filter(any_of(query.words, F.col("term"))).select("term").distinct().withColumn("weight", F.lit(1.0))
+        terms = index_.wanted(query.words)
+        return dict.fromkeys(terms, 1.0) if isinstance(terms, list) else terms.withColumn("weight", F.lit(1.0))
     weights: dict[str, float] = {}
     for term, weight in query.terms:
         weights[term] = weights.get(term, 0.0) + weight
-    return found.sparkSession.createDataFrame(list(weights.items()), "term string, weight double")
+    return weights
 
 
-def tf_idf(found: DataFrame, lengths: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rows (doc_id, score) with scores above 0: weighted sums of tf ln(N / df), over the document's length."""
-    tf = found.join(weights, "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n"))  # one row
-    parts = tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", (F.col("weight") * F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("part"))
-    sums = parts.groupBy("doc_id").agg(F.sum("part").alias("part"))
-    return sums.join(lengths, "doc_id").select("doc_id", (F.col("part") / F.col("doc_len")).alias("score")).filter("score > 0")
+def tf_idf(index_: index.Index, weights: dict[str, float] | DataFrame) -> DataFrame:
+    """Rows (doc_id, score) with scores above 0: weighted sums of tf ln(N / df), over the document's length. Reads the postings and dictionary entries of the weighted terms."""
+    lists, terms = index_.postings.select("term", "doc_id", "tf"), index_.terms.select("term", "df")
+    if isinstance(weights, dict):
+        lists, terms = (x.filter(F.col("term").isin(list(weights))) for x in (lists, terms))
+        weights = index_.terms.sparkSession.createDataFrame(list(weights.items()), "term string, weight double")
+    n = index_.documents.agg(F.count("*").alias("n"))  # one row
+    factors = terms.join(weights, "term").crossJoin(F.broadcast(n)).select("term", (F.col("weight") * F.log(F.col("n") / F.col("df"))).alias("factor"))
+    sums = lists.join(factors, "term").groupBy("doc_id").agg(F.sum(F.col("factor") * F.col("tf")).alias("part"))
+    return sums.join(index_.documents.select("doc_id", "doc_len"), "doc_id").select("doc_id", (F.col("part") / F.col("doc_len")).alias("score")).filter("score > 0")
 
 
 def by_pagerank(scores: DataFrame, docs: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -87,43 +90,51 @@ def feedback_weights(found: DataFrame, query: Query, relevant: list[int], alpha:
 
 @dataclass
 class SearchEngine:
-    """Searches over documents (doc_id, doc_name, text), with their link graph and its ranks if there are any."""
+    """Searches an index, with the documents' link graph and its ranks if there are any."""
 
-    docs: DataFrame
-    found: DataFrame
-    lengths: DataFrame
+    index: index.Index
     edges: DataFrame | None = None
     nodes: DataFrame | None = None
     ranks: DataFrame | None = None
 
     @staticmethod
     def over(docs: DataFrame, edges: DataFrame | None = None, nodes: DataFrame | None = None, ranks: DataFrame | None = None, **flags: object) -> SearchEngine:
-        return SearchEngine(docs, index.occurrences(docs, **flags), index.doc_lengths(docs, **flags), edges, nodes, ranks)
+        """An engine over documents (doc_id, doc_name, text) without a saved index."""
+        return SearchEngine(index.Index.over(docs, **flags), edges, nodes, ranks)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, edges: DataFrame | None = None, nodes: DataFrame | None = None, ranks: DataFrame | None = None) -> SearchEngine:
+        """An engine over a saved index; no text is read again."""
+        return SearchEngine(index.Index.load(spark, path), edges, nodes, ranks)
+
+    def occurrences(self, query: Query) -> DataFrame:
+        """Occurrences of the terms that the query's words stand for."""
+        return self.index.occurrences(self.index.wanted(query.words))
 
     def search(self, text: str | Query, kind: QueryType = QueryType.INTERSECTION, ranking: RankingType = RankingType.TF_IDF) -> DataFrame:
         query = text if isinstance(text, Query) else Query.parse(text)
         if kind is QueryType.INTERSECTION:
-            return intersection(self.found, query)
+            return intersection(self.occurrences(query), query)
         if kind is QueryType.PHRASE:
-            return phrase(self.found, query)
+            return phrase(self.occurrences(query), query)
         if ranking is RankingType.HITS:
             return self.hits(query)
-        scores = tf_idf(self.found, self.lengths, expanded(self.found, query))
+        scores = tf_idf(self.index, expanded(self.index, query))
         if ranking is RankingType.TF_IDF:
             return scores
-        ranked = by_pagerank(scores, self.docs, self.ranks)
+        ranked = by_pagerank(scores, self.index.documents, self.ranks)
         if ranking is RankingType.PAGERANK:
             return ranked.select("doc_id", F.col("rank").alias("score"))
         return ranked.select("doc_id", (TF_IDF * F.col("score") + PAGERANK * F.col("rank")).alias("score"))
 
     def hits(self, query: Query, steps: int | None = None) -> DataFrame:
         """Hub plus authority of each document of the base set around those with any word; node ids are doc_ids."""
-        root = union(self.found, query).select(F.col("doc_id").alias("node_id"))
+        root = union(self.occurrences(query), query).select(F.col("doc_id").alias("node_id"))
         edges, nodes = graph.base_set(self.edges, root, self.nodes)
         both = graph.hits(edges, nodes, steps=steps)
-        return both.join(self.docs.select(F.col("doc_id").alias("node_id")), "node_id").select(F.col("node_id").alias("doc_id"), (F.col("hub") + F.col("authority")).alias("score"))
+        return both.join(self.index.documents.select(F.col("doc_id").alias("node_id")), "node_id").select(F.col("node_id").alias("doc_id"), (F.col("hub") + F.col("authority")).alias("score"))
 
     def needs_spellcheck(self, text: str) -> bool:
         """Whether the first word isn't in the index; a later missing word only makes the result empty."""
         query = Query.parse(text)
-        return bool(len(query)) and not query.has_wildcard and self.found.filter(F.col("term") == query.words[0]).isEmpty()
+        return bool(len(query)) and not query.has_wildcard and self.index.terms.filter(F.col("term") == query.words[0]).isEmpty()

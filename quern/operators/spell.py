@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import edit_distance, kgrams
+from quern.operators.index import Index
 
 JACCARD, DISTANCE, K = 0.4, 2, 2
 
@@ -24,6 +25,12 @@ def jaccard(terms: DataFrame, word: str, k: int = K) -> DataFrame:
     return counted.withColumn("jaccard", F.col("shared") / (len(wanted) + F.size(grams) - F.col("shared"))).drop("shared")
 
 
+def sharing(index: Index, word: str, k: int = K) -> DataFrame:
+    """Rows (term, df) of terms that share a k-gram with the word, by the k-gram index, and whose length is near enough for the edit distance."""
+    near = index.grams.filter(F.col("gram").isin(grams_of(word, k)) & F.length("term").between(len(word) - DISTANCE, len(word) + DISTANCE))
+    return index.terms.select("term", "df").join(near.select("term").distinct(), "term", "left_semi")
+
+
 def candidates(terms: DataFrame, word: str, k: int = K) -> DataFrame:
     """Rows (term, jaccard, distance, df, score), from terms (term, df): near enough by grams, then by edit distance; score is df / jaccard / distance."""
     near = jaccard(terms, word, k).filter(F.col("jaccard") >= JACCARD).filter(F.levenshtein("term", F.lit(word)) <= DISTANCE)
@@ -31,18 +38,18 @@ def candidates(terms: DataFrame, word: str, k: int = K) -> DataFrame:
     return scored.withColumn("score", F.col("df") / F.col("jaccard") / F.col("distance"))
 
 
-def best(terms: DataFrame, word: str, limit: int) -> list[tuple[str, float]]:
+def best(index: Index, word: str, limit: int) -> list[tuple[str, float]]:
     """Up to ``limit`` corrections of a word, best first; the word alone, with score 1, if it is a term."""
-    if not terms.filter(F.col("term") == word).isEmpty():
+    if not index.terms.filter(F.col("term") == word).isEmpty():
         return [(word, 1.0)]
-    return [(r.term, r.score) for r in candidates(terms, word).orderBy(F.desc("score"), "term").limit(limit).collect()]
+    return [(r.term, r.score) for r in candidates(sharing(index, word), word).orderBy(F.desc("score"), "term").limit(limit).collect()]
 
 
-def check(found: DataFrame, terms: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def check(index: Index, query: str, limit: int = 10) -> DataFrame:
     """Rows (suggestion, score): corrections of a query, best first. For several words the better half of each word's is combined, and sums are multiplied by the documents with all words."""
     words = query.lower().split()
-    spark = terms.sparkSession
-    lists = [best(terms, w, 10 * limit) for w in words]
+    spark = index.terms.sparkSession
+    lists = [best(index, w, 10 * limit) for w in words]
     if len(lists) == 1:
         return spark.createDataFrame(lists[0][:limit], "suggestion string, score double")
     half = [part[: min(len(part) // 2 + 1, limit // 2 + 1)] for part in lists]
@@ -52,7 +59,7 @@ def check(found: DataFrame, terms: DataFrame, query: str, limit: int = 10) -> Da
     rows = spark.createDataFrame([(" ".join(p), s, list(p)) for p, s in phrases], "suggestion string, score double, words array<string>")
     used = sorted({w for p, _ in phrases for w in p})
     # documents with all words of each phrase, for all phrases in one aggregation
-    held = found.filter(F.col("term").isin(used)).groupBy("doc_id").agg(F.collect_set("term").alias("have"))
+    held = index.postings.filter(F.col("term").isin(used)).groupBy("doc_id").agg(F.collect_set("term").alias("have"))
     # the phrases, at most (limit / 2 + 1) to the number of words, are matched within each document's row
     listed = F.array(*[F.struct(F.lit(" ".join(p)).alias("s"), F.array(*map(F.lit, p)).alias("w")) for p, _ in phrases]) if phrases else None
     if listed is None:

@@ -39,21 +39,14 @@ def parse_truth(lines: DataFrame) -> DataFrame:
     return lines.select(F.split("value", ": ", 2).alias("p")).select(F.get("p", F.lit(0)).alias("node_id"), F.get("p", F.lit(1)).cast("double").alias("score"))
 
 
-def save_index(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write postings sorted by term, so that row groups have narrow ranges of terms; ``append`` adds a segment."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode(mode).option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+def encode_postings(postings: DataFrame, together: int = 100_000) -> DataFrame:
+    """Rows (term, block, line): a term's list as text, ``term;~doc,off,off,~doc,off,`` in the order of documents.
 
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings as saved; filters on the term reach the scan."""
-    return spark.read.parquet(path)
-
-
-def encode_postings(postings: DataFrame) -> DataFrame:
-    """Rows (term, line): a term's list as text, ``term;~doc,off,off,~doc,off,`` in the order of documents."""
+    A list is cut into blocks where doc_id passes a multiple of ``together``, so that no row holds more documents than that; a block is a line that reads like a whole list.
+    """
     entry = F.concat(F.lit("~"), F.col("doc_id").cast("string"), F.lit(","), F.concat_ws(",", F.col("offsets").cast("array<string>")), F.lit(","))
-    lists = postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("entry")))).alias("entries"))
-    return lists.select("term", F.concat(F.col("term"), F.lit(";"), F.concat_ws("", F.col("entries.entry"))).alias("line"))
+    lists = postings.groupBy("term", F.floor(F.col("doc_id") / together).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("entry")))).alias("entries"))
+    return lists.select("term", "block", F.concat(F.col("term"), F.lit(";"), F.concat_ws("", F.col("entries.entry"))).alias("line"))
 
 
 def decode_postings(lines: DataFrame) -> DataFrame:
@@ -63,6 +56,22 @@ def decode_postings(lines: DataFrame) -> DataFrame:
     return entries.select("term", F.get("p", F.lit(0)).cast("long").alias("doc_id"), (F.size("p") - 1).alias("tf"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).cast("array<int>").alias("offsets"))
 
 
+def encode_documents(documents: DataFrame) -> DataFrame:
+    """Lines ``doc_id;name;length`` of documents (doc_id, doc_name, doc_len)."""
+    return documents.select(F.concat_ws(";", F.col("doc_id").cast("string"), "doc_name", F.col("doc_len").cast("string")).alias("line"))
+
+
+def decode_documents(lines: DataFrame) -> DataFrame:
+    """Rows (doc_id, doc_name, doc_len) from a column line; the name may hold semicolons."""
+    head, tail = F.regexp_extract("line", r"\A(-?\d+);", 1), F.regexp_extract("line", r";(\d+)\z", 1)
+    return lines.select(head.cast("long").alias("doc_id"), F.regexp_extract("line", r"(?s)\A-?\d+;(.*);\d+\z", 1).alias("doc_name"), tail.cast("int").alias("doc_len"))
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Write tokens (doc_id, offset, token), one a line, in the order of documents and places; parts follow each other in that order."""
+    tokens.repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset").select("token").write.mode("overwrite").text(path)
+
+
 def fetch_document(docs: DataFrame, name: str) -> DataFrame:
     """Lines of the document of that file name, trimmed, in order; a single line says so if there is none."""
     found = docs.filter(basename(F.col("doc_name")) == name).select(F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line_no", "line"))

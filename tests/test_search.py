@@ -1,12 +1,14 @@
 """Small corpora and graphs with results worked out by hand."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import PATTERNS, basename, edit_distance, tokens
-from quern.operators import graph, index, search, spell
+from quern.operators import graph, index, prefix, search, spell
 from quern.plans.query import Query, QueryType, matches
-from quern.sources import files
+from quern.sources import files, tables
 from quern.streaming.indexing import index_stream, read_segments
 
 TEXTS = ["the quick brown fox jumps over the lazy dog ", "the quick red fox ", "a brown dog and a quick fox ", "lazy dogs sleep "]
@@ -45,7 +47,7 @@ def test_ranked(engine):
 
 @pytest.mark.parametrize(("strict", "dog"), [(True, 0.1333), (False, 0.1)])
 def test_feedback(engine, strict, dog):
-    weights = {r.term: round(r.weight, 4) for r in search.feedback_weights(engine.found, Query.parse("quick dog"), [1], strict=strict).collect()}
+    weights = {r.term: round(r.weight, 4) for r in search.feedback_weights(engine.index.occurrences(), Query.parse("quick dog"), [1], strict=strict).collect()}
     assert weights == {"quick": 0.9, "dog": dog, "the": 0.8, "red": 0.8, "fox": 0.8}
 
 
@@ -57,10 +59,10 @@ def test_wildcards_overlap(spark):
 
 
 def test_spelling(engine):
-    terms = index.document_frequency(engine.found)
+    terms = engine.index.terms
     found = {r.term: (round(r.jaccard, 4), r.distance, round(r.score, 4)) for w in ("quik", "lasy", "dox") for r in spell.candidates(terms, w).collect()}
     assert found == {"quick": (0.5714, 1, 5.25), "lazy": (0.4286, 2, 2.3333)}
-    assert [r.suggestion for r in spell.check(engine.found, terms, "quik fox").collect()] == ["quick fox"]
+    assert [r.suggestion for r in spell.check(engine.index, "quik fox").collect()] == ["quick fox"]
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("kitten", "sitting", 5), ("abc", "abd", 2), ("abc", "abcd", 1), ("same", "same", 0), ("", "ab", 2), ("ab", "", 2)])
@@ -86,6 +88,7 @@ def test_token_flags(spark):
     assert one("no trailing") == ["no", "trailing"]
     assert one("Ab, C.", case_folding=False, remove_punctuation=False) == ["Ab", ",", "C", "."]
     assert one("Éà ñ", remove_diacritics=True) == ["ea", "n"]
+    assert one("Æßþ Łœ", remove_diacritics=True, case_folding=False) == ["ESt", "Lo"]
     assert one(None) == [] and one("") == []
     assert spark.createDataFrame([("a\\b/c.txt/",)], "p string").select(basename(F.col("p"))).first()[0] == "c.txt"
 
@@ -128,11 +131,18 @@ def test_monte_carlo(toy, cyclic, complete):
 def test_index_roundtrip_merge_and_codec(spark, docs, tmp_path):
     whole = index.inverted_index(index.occurrences(docs))
     rows = lambda df: sorted((r.term, r.doc_id, r.tf, tuple(r.offsets)) for r in df.collect())
-    files.save_index(whole, str(tmp_path / "i"))
-    assert rows(files.load_index(spark, str(tmp_path / "i"))) == rows(whole)
+    assert rows(index.postings(docs)) == rows(whole)
+    index.Index.over(docs).save(str(tmp_path / "i"))
+    saved = search.SearchEngine.load(spark, str(tmp_path / "i"))
+    assert rows(saved.index.postings) == rows(whole)
+    for text, kind in (("b*n dog", QueryType.INTERSECTION), ("quick b*n", QueryType.PHRASE), ("quick dog", QueryType.RANKED), ("do*", QueryType.RANKED)):
+        assert sorted(map(tuple, saved.search(text, kind).collect())) == sorted(map(tuple, search.SearchEngine.over(docs).search(text, kind).collect()))
+    assert "PushedFilters: [In(term, [dog,quick])" in saved.search("quick dog", QueryType.RANKED)._jdf.queryExecution().toString()
+    assert sorted(r.doc_len for r in files.decode_documents(files.encode_documents(saved.index.documents)).collect()) == [3, 4, 7, 9]
     parts = [index.inverted_index(index.occurrences(docs.filter(F.col("doc_id") % 2 == i))) for i in range(2)]
     assert rows(index.merge(*parts)) == rows(whole)
     assert rows(files.decode_postings(files.encode_postings(whole))) == rows(whole)
+    assert files.encode_postings(whole, 2).count() > files.encode_postings(whole).count() and rows(files.decode_postings(files.encode_postings(whole, 2))) == rows(whole)
     odd = spark.createDataFrame([("a;b~c,d", 1, 1, [3])], "term string, doc_id long, tf int, offsets array<int>")
     assert rows(files.decode_postings(files.encode_postings(odd))) == rows(odd)
 
@@ -159,10 +169,31 @@ def test_files(spark, tmp_path):
     assert files.parse_titles(spark.createDataFrame([("1;a;b",)], "value string")).first()["title"] == "a;b"
     truth = files.parse_truth(spark.createDataFrame([("a: 0.25",)], "value string"))
     assert graph.squared_error(scores, truth).first()[0] == 0.0625
+    words = spark.createDataFrame([(2, 0, "c"), (1, 1, "b"), (1, 0, "a")], "doc_id long, offset int, token string")
+    files.write_tokens(words, str(tmp_path / "tokens"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "tokens").glob("part-*"))) == "a\nb\nc\n"
+
+
+@pytest.mark.parametrize("bits", [0, 1, 9, 12, 23])
+def test_prefix_sums(spark, bits):
+    rows = [(g, (i * 2654435761 + len(g)) % (1 << 60) if i % 5 else 7, i) for g in "ab" for i in range(1, 200)]
+    table = spark.createDataFrame(rows, "g string, key long, v int")
+    got = {(r.g, r.cell): r.start for r in prefix.starts(table, ["g"], "key", F.col("v"), bits).collect()}
+    cells = {(g, k >> (60 - bits)) for g, k, _ in rows}
+    assert got == {(g, c): sum(v for h, k, v in rows if h == g and k >> (60 - bits) < c) for g, c in cells}
+    numbers = sorted((r.g, r.nr) for r in prefix.numbered(table, ["g"], "key", ["v"], 300 << bits).collect())
+    assert numbers == [(g, n) for g in "ab" for n in range(199)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_folder(cluster)
 
 
 def test_kgrams(engine):
-    grams = index.kgram_index(engine.found.select("term").distinct())
+    grams = engine.index.grams
     assert sorted(r[0] for r in index.kgram_lookup(grams, ["^d", "do"]).collect()) == ["dog", "dogs"]
     with pytest.raises(ValueError, match="different lengths"):
         index.kgram_lookup(grams, ["a", "ab"])
