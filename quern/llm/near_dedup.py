@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.fragments import STEP, U, WordHashes, grams, mixed
-from quern.llm.shared import cut, documents, held, only
+from quern.llm.shared import cut, documents, held, mapped, only
 
 SHINGLE, LIKE = 5, 0.8
 #: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
@@ -146,7 +146,7 @@ def prefixes(texts: DataFrame, like: float) -> DataFrame:
 
     Units of one text alone come first in the order and are left out.
     """
-    listed = cut(texts.mapInPandas(units, "rep long, n long, units array<long>"))
+    listed = cut(mapped(texts, units, "rep long, n long, units array<long>"))
     each = listed.select("rep", "n", F.explode("units").alias("unit"))
     common = each.groupBy("unit").agg(F.count("*").alias("times")).filter("times > 1")
     kept = each.join(common, "unit").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
@@ -173,7 +173,7 @@ def candidates(heads: DataFrame, parts: DataFrame, like: float, least: bool) ->
 def verified(pairs: DataFrame, bodies: DataFrame, like: float) -> DataFrame:
     """Rows (a, b, alike) of pairs (a, b)."""
     bodied = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return cut(bodied.select("a", "b", "x", "y").mapInPandas(partial(compared, like=like), "a long, b long, alike boolean"))
+    return cut(mapped(bodied.select("a", "b", "x", "y"), partial(compared, like=like), "a long, b long, alike boolean"))
 
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     doc_id is unique and not null; other columns aren't read. An empty table gives no rows.
     """
     texts = only(df, "doc_id", "text")
-    rows = cut(texts.mapInPandas(signed, "doc_id long, digest binary, n long, bands array<long>"))
+    rows = cut(mapped(texts, signed, "doc_id long, digest binary, n long, bands array<long>"))
     first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     bands = rows.join(first.select("digest", "rep"), "digest").filter("doc_id = rep")
     seats = bands.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, held, only
+from quern.llm.shared import documents, held, mapped, only
 
 #: Labelled documents that the model is fitted on, at most: those with the least hashes of doc_id.
 SAMPLE = 4_000
@@ -25,7 +25,7 @@ SAMPLE = 4_000
 WORD_BITS, SHAPE_BITS, LATENT, NEIGHBOURS, POWER, BLOCK = 11, 7, 48, 25, 8, 256
 #: Weight of the shapes beside the words; score from which a document is taken for good.
 SHAPES, CUT = 2.0, 0.3
-KEEP = 300_000
+KEEP = 150_000
 N_WORDS, N_SHAPES = 1 << WORD_BITS, 1 << SHAPE_BITS
 
 
@@ -46,7 +46,7 @@ class Features(dict):
 
 
 def counted(texts: list[str | None], features: Features) -> np.ndarray:
-    """Counts of features, a row for each text; the last two shapes count words equal to the one before, and words that came before at all."""
+    """Counts of features, a row for each text; the last two shapes count words equal to the one before, and words beyond the first of their feature."""
     out = np.zeros((len(texts), N_WORDS + N_SHAPES), np.float32)
     for row, text in zip(out, texts, strict=True):
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -56,6 +56,7 @@ def counted(texts: list[str | None], features: Features) -> np.ndarray:
         row[:N_WORDS] = np.bincount(x >> 8, minlength=N_WORDS)
         row[N_WORDS:] = np.bincount(x & 255, minlength=N_SHAPES)
         row[-2] = np.count_nonzero(x[1:] == x[:-1])
+        row[-1] = len(x) - np.count_nonzero(row[:N_WORDS])
     return out
 
 
@@ -105,7 +106,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -
     Rows with a null id or label, or without a document, aren't used. Without any labelled document the model scores 0.5 throughout.
     """
     some = only(labels, "doc_id", "label").dropna().distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "label").limit(sample)
-    rows = only(df, "doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(sampled, "doc_id long, label int, at array<int>, n array<float>").collect()
+    rows = mapped(only(df, "doc_id", "text").join(F.broadcast(some), "doc_id"), sampled, "doc_id long, label int, at array<int>, n array<float>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label))
     counts = np.zeros((len(rows), N_WORDS + N_SHAPES), np.float32)
     for out, row in zip(counts, rows, strict=True):
@@ -135,7 +136,7 @@ def scored(parts: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame
 
 def score(df: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score), one for each row of ``df`` (doc_id, text): how likely label 1 is, from 0 to 1. Null and empty texts get the share of label 1 in the sample."""
-    return only(df, "doc_id", "text").mapInPandas(partial(scored, model=model), "doc_id long, score double")
+    return mapped(only(df, "doc_id", "text"), partial(scored, model=model), "doc_id long, score double")
 
 
 def good(parts: Iterator[pd.DataFrame], model: Model, least: float) -> Iterator[pd.DataFrame]:
@@ -148,7 +149,7 @@ def good(parts: Iterator[pd.DataFrame], model: Model, least: float) -> Iterator[
 def keep_good(df: DataFrame, model: Model, least: float = CUT) -> DataFrame:
     """The rows of ``df`` that score ``least`` or more, with all their columns, in one pass."""
     text = df.select(*[F.col(f"`{c}`") for c in df.columns])
-    return text.mapInPandas(partial(good, model=model, least=least), df.schema)
+    return mapped(text, partial(good, model=model, least=least), df.schema)
 
 
 def held_out() -> Column:
