@@ -8,6 +8,9 @@ the same anchor form a fragment. Two equal windows have equal anchors at equal p
 3. only where one anchor has several classes (a path branches) are single windows compared, one class each.
 
 Counts are map-side combined and occurrences are joined to classes, so that a hot key is split by adaptive execution instead of landing in one task.
+
+Documents are told apart by doc_id. Rows with a null one stay as they are, and their windows count for nothing. Rows that share one are one document, seen more than once: spans that
+are found in one hold for all, as far as their texts reach.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import cut, only, remove
+from quern.llm.shared import cut, mapped, only, release, remove
 
 U = np.uint64
 #: Odd multipliers and shifts of a 64-bit finaliser and of the m-gram sums.
@@ -29,7 +32,7 @@ MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97
 #: Windows handled at once; bounds memory for long documents.
 PIECE = 1 << 20
 #: Words whose hashes a worker keeps.
-KEEP = 400_000
+KEEP = 150_000
 RANDOM_BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -132,28 +135,51 @@ class Bytes:
         return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, key: int, whole: bool) -> Iterator[pd.DataFrame]:
-    """Rows of fragments; ``key``: the anchor as so many bytes, or as its hash if 0; ``whole``: content and place too, else anchors alone."""
+def padded(data: bytes, place: np.ndarray, depth: int) -> list[bytes]:
+    """The ``depth`` bytes from each place on, filled up with zeros at the end of the data."""
+    data = data + b"\0" * depth
+    return [data[p : p + depth] for p in place.tolist()]
+
+
+def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, depth: int, whole: bool) -> Iterator[pd.DataFrame]:
+    """Rows of fragments. ``whole``: with their content's digest and their place, else their anchors alone. ``depth``: also the suffix at the anchor, so many bytes of it, or its digest
+    if ``whole``; where it is 0, ``whole`` rows have the hashes of the k - 1 symbols that they start and end with."""
     symbols = kind(m)
+    rows = Rows(*columns_of(depth, whole), many=100_000)
     for batch in batches:
-        rows: dict[str, list] = {"anchor": [], "content": [], "doc_id": [], "start": [], "n": [], "at": []}
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             data, x = symbols.read(text)
             start, n, place, h = fragments(x, k, m)
             if not len(start):
                 continue
-            rows["anchor"].extend([data[p : p + key] for p in place.tolist()] if key else [h.view(np.int64)])
+            suffix = padded(data, place, depth) if depth else []
             if whole:
-                rows["content"].extend(xxhash.xxh3_128_digest(s) for s in symbols.many(data, start, start + n + k - 1))
-                rows["doc_id"].append(np.full(len(start), doc_id, np.int64))
-                rows["start"].append(start)
-                rows["n"].append(n.astype(np.int32))
-                rows["at"].append((place - start).astype(np.int32))
-        if rows["anchor"]:
-            out = {"anchor": rows["anchor"] if key else np.concatenate(rows["anchor"])}
-            if whole:
-                out |= {"content": rows["content"]} | {c: np.concatenate(rows[c]) for c in ("doc_id", "start", "n", "at")}
-            yield pd.DataFrame(out)
+                content = [xxhash.xxh3_128_digest(s) for s in symbols.many(data, start, start + n + k - 1)]
+                out = [h.view(np.int64), content, np.full(len(start), doc_id, np.int64), start, n.astype(np.int32), (place - start).astype(np.int32)]
+                if depth:
+                    out.append([xxhash.xxh3_128_digest(s) for s in suffix])
+                else:
+                    node = grams(x, k - 1).view(np.int64)
+                    out += [node[start], node[start + n]]
+            else:
+                out = [suffix] if depth else [h.view(np.int64)]
+            rows.add(*out)
+            yield from rows.frames()
+    yield from rows.frames(rest=True)
+
+
+def columns_of(depth: int, whole: bool) -> dict[str, str]:
+    if not whole:
+        return {"suffix": "binary"} if depth else {"anchor": "long"}
+    own = {"suffix": "binary"} if depth else {"head": "long", "tail": "long"}
+    return {"anchor": "long", "content": "binary", "doc_id": "long", "start": "long", "n": "int", "at": "int"} | own
+
+
+def clipped(spans: list | np.ndarray | tuple, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and number of windows of spans, as far as a text with ``limit`` windows has them."""
+    for s in spans:
+        if s["start"] < limit:
+            yield s["start"], min(s["n"], limit - s["start"])
 
 
 class Rows:
@@ -183,9 +209,9 @@ def pieces(batches: Iterator[pd.DataFrame], kind: type, k: int, block: int) -> I
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             data = symbols.plain(text)
             begin, end, low = [], [], []
-            for s in spans:
-                grid = s["start"] + s["at"] % block - block
-                edges = [s["start"], *range(grid + block * (1 + (grid + block <= s["start"])), s["start"] + s["n"], block), s["start"] + s["n"]]
+            for s, (start, n) in zip((s for s in spans if s["start"] <= len(data) - k), clipped(spans, len(data) - k + 1), strict=True):
+                grid = start + s["at"] % block - block
+                edges = [start, *range(grid + block * (1 + (grid + block <= start)), start + n, block), start + n]
                 begin += edges[:-1]
                 end += edges[1:]
                 low += [e - (e - grid) % block for e in edges[:-1]]
@@ -204,7 +230,7 @@ def windows(batches: Iterator[pd.DataFrame], kind: type, k: int) -> Iterator[pd.
     for batch in batches:
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             data = symbols.plain(text)
-            place = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
+            place = np.concatenate([np.zeros(0, np.int64), *[np.arange(start, start + n) for start, n in clipped(spans, len(data) - k + 1)]])
             for i in range(0, len(place), 20_000):
                 part = place[i : i + 20_000]
                 rows.add([xxhash.xxh3_128_digest(s) for s in symbols.many(data, part, part + k)], np.full(len(part), doc_id, np.int64), part)
@@ -216,70 +242,58 @@ def texts(df: DataFrame) -> DataFrame:
     return only(df, "doc_id", "text")
 
 
-def anchors(df: DataFrame, kind: type, k: int, m: int, key: int = 0) -> DataFrame:
-    """One row ``anchor`` for each fragment."""
-    return texts(df).mapInPandas(partial(anchored, kind=kind, k=k, m=m, key=key, whole=False), f"anchor {'binary' if key else 'long'}")
+def anchors(df: DataFrame, kind: type, k: int, m: int, depth: int = 0) -> DataFrame:
+    """One row for each fragment: its ``anchor``, or the ``suffix`` there, ``depth`` bytes of it."""
+    return read(df, kind, k, m, depth, False)
 
 
-def occurrences(df: DataFrame, kind: type, k: int, m: int, key: int = 0) -> DataFrame:
+def occurrences(df: DataFrame, kind: type, k: int, m: int, depth: int = 0) -> DataFrame:
     """One row for each fragment, with its content's digest and its place."""
-    return texts(df).mapInPandas(partial(anchored, kind=kind, k=k, m=m, key=key, whole=True), f"anchor {'binary' if key else 'long'}, content binary, doc_id long, start long, n int, at int")
+    return read(df, kind, k, m, depth, True)
+
+
+def read(df: DataFrame, kind: type, k: int, m: int, depth: int, whole: bool) -> DataFrame:
+    schema = ", ".join(f"{c} {t}" for c, t in columns_of(depth, whole).items())
+    return mapped(texts(df).filter("doc_id IS NOT NULL"), partial(anchored, kind=kind, k=k, m=m, depth=depth, whole=whole), schema)
 
 
 def spans_to_text(df: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """Join each document with its list of spans; the spans are the built side, so that texts aren't sorted."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in ("start", "n", "at") if c in spans.columns])).alias("spans"))
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "doc_id"])).alias("spans"))
     return texts(df).join(listed.hint("shuffle_hash"), "doc_id", how)
 
 
-def settled(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Spans that are repeated as a whole; the first of each class where an anchor has several; the tables that both read."""
-    place = ("doc_id", "start", "n", "at")
+PLACE = ("doc_id", "start", "n", "at")
+
+
+def classes_of(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (anchor, content, times, first, ...) of equal fragments, and the first of each class where an anchor has several (doc_id, start, n, at)."""
+    ends = [F.first(c).alias(c) for c in ("head", "tail") if c in found.columns]
     if keep_first:
-        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct(*place)).alias("first"))
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct(*PLACE)).alias("first"), *ends)
     else:  # any place will do, and its columns come from one row
-        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in place])
-        classes = classes.select("anchor", "content", "times", F.struct(*place).alias("first"))
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in PLACE], *ends)
+        classes = classes.select("anchor", "content", "times", F.struct(*PLACE).alias("first"), *[c for c in ("head", "tail") if c in found.columns])
     classes = cut(classes)
     # written, so that adaptive execution can split a hot anchor in the join
     branching = cut(classes.groupBy("anchor").agg(F.count("*").alias("ways")).filter("ways > 1").select("anchor"))
-    more = classes.filter("times > 1").select("anchor", "content", "first")
-    return found.join(more, ["anchor", "content"]).filter(later(keep_first)).select("doc_id", "start", "n"), classes.join(branching, "anchor").select("first.*"), [found, classes, branching]
-
-
-def repeated_spans(df: DataFrame, repeated: DataFrame, kind: type, k: int, m: int, key: int, keep_first: bool, block: int = 0) -> DataFrame:
-    """Rows (doc_id, start, n): ``n`` windows from ``start`` on that also start elsewhere; earlier, if ``keep_first``.
-
-    ``repeated`` has each anchor that occurs more than once, as a table that ``cut`` wrote. ``block``: compare branching paths by blocks of so many windows before single windows.
-    """
-    found = cut(occurrences(df, kind, k, m, key).join(repeated, "anchor"))
-    remove(repeated)
-    whole, paths, read = settled(found, keep_first)
-    if block:
-        schema = "anchor binary, content binary, doc_id long, start long, n int, at int"
-        part, paths, also = settled(cut(spans_to_text(df, paths, "inner").mapInPandas(partial(pieces, kind=kind, k=k, block=block), schema)), keep_first)
-        whole, read = whole.unionByName(part), read + also
-    edges = cut(spans_to_text(df, paths, "inner").mapInPandas(partial(windows, kind=kind, k=k), "digest binary, doc_id long, start long"))
-    first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
-    met = cut(edges.groupBy("digest").agg(F.count("*").alias("times"), *first).filter("times > 1"))
-    single = edges.join(met, "digest").filter(later(keep_first)).select("doc_id", "start", F.lit(1).alias("n"))
-    spans = cut(whole.unionByName(single))
-    for table in [*read, edges, met]:
-        remove(table)
-    return spans
-
-
-def later(keep_first: bool) -> Column:
+    return classes, cut(classes.join(branching, "anchor").select("first.*"))
+
+
+def windows_apart(df: DataFrame, paths: DataFrame, kind: type, k: int) -> DataFrame:
+    """A row (digest, doc_id, start) for each window of the listed paths."""
+    return cut(mapped(spans_to_text(df, paths, "inner"), partial(windows, kind=kind, k=k), "digest binary, doc_id long, start long"))
+
+
+def later(doc_id: str = "first.doc_id", start: str = "first.start") -> Column:
     """Whether a row isn't its class's first."""
-    if not keep_first:
-        return F.lit(True)
-    return (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start")))
+    return (F.col("doc_id") > F.col(doc_id)) | ((F.col("doc_id") == F.col(doc_id)) & (F.col("start") > F.col(start)))
 
 
 def covered(spans: list | np.ndarray | None, n: int, k: int) -> np.ndarray:
     """Which of ``n`` symbols the spans' windows cover."""
     edge = np.zeros(n + 1, np.int64)
-    for s in () if spans is None else spans:
-        edge[s["start"]] += 1
-        edge[s["start"] + s["n"] + k - 1] -= 1
+    for start, many in clipped(() if spans is None else spans, n - k + 1):
+        edge[start] += 1
+        edge[start + many + k - 1] -= 1
     return np.cumsum(edge[:n]) > 0

@@ -1,48 +1,111 @@
-"""Substring dedup: repeated passages of words, found as repeated edges of a De Bruijn graph of word windows.
+"""Substring dedup: repeated passages of words, found as repeated paths of a De Bruijn graph of word windows.
 
-Each window of ``k`` words is an edge between its first and its last ``k - 1`` words. Consecutive edges of a document that share their anchor are compacted where they are read;
-joins of occurrences with classes of equal paths compact the repeated nonbranching ones over the whole corpus, and only where paths branch are single edges compared. Source
-coordinates (document, first word) go with each path, and the text at them is read again to compare the windows of branching paths by 128-bit digests.
+Each window of ``k`` words is an edge between the nodes of its first and its last ``k - 1`` words. Edges are told apart in parts of the graph by their minimisers, as large graphs are
+built: consecutive edges of a document with one anchor are a path, and only paths whose anchor occurs again can repeat. Equal paths are one; joins with the table of nodes and their
+degrees compact the repeated paths that meet at nodes with one way in and one way out; and only where an anchor has several paths (the graph branches) are single edges compared.
+
+Digests find what repeats; words decide. Each span that would go is looked up at its source coordinates (document, first word), and goes only if the words there are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.fragments import Words, anchors, covered, repeated_spans, spans_to_text
-from quern.llm.shared import cut, documents
+from quern.llm.fragments import Words, anchors, classes_of, covered, later, occurrences, spans_to_text, windows_apart
+from quern.llm.shared import cut, documents, mapped, release, remove
 
 K, M = 20, 6
 
 
+def nodes(paths: DataFrame) -> DataFrame:
+    """Rows (node, ways_in, ways_out) of the ends of paths (head, tail)."""
+    ends = paths.select(F.col("head").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(paths.select(F.col("tail").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return ends.groupBy("node").agg(F.sum("i").alias("ways_in"), F.sum("o").alias("ways_out"))
+
+
+def compacted(paths: DataFrame) -> DataFrame:
+    """The repeated paths (anchor, content, first, head, tail) as (anchor, content, source, source_start, origin): where the path's first occurrence is, and the first word there of the
+    compacted path that it belongs to. A path goes on with the next one of its source if the node between them has one way in and one way out."""
+    simple = nodes(paths).filter("ways_in = 1 AND ways_out = 1").select("node")
+    ended = paths.select(F.col("tail").alias("node"), F.col("first.doc_id").alias("source"), (F.col("first.start") + F.col("first.n")).alias("source_start")).join(simple, "node")
+    begun = paths.select("anchor", "content", F.col("head").alias("node"), F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))
+    joined = begun.join(ended.withColumn("goes_on", F.lit(True)), ["node", "source", "source_start"], "left")
+    origin = F.last(F.when(F.col("goes_on").isNull(), F.col("source_start")), ignorenulls=True).over(Window.partitionBy("source").orderBy("source_start"))
+    return joined.withColumn("origin", origin).drop("node", "goes_on")
+
+
+def joined_up(pieces: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, n, source, source_start) from pieces of them that follow each other in the document as they do on one compacted path of their source."""
+    line = Window.partitionBy("doc_id", "source", "origin", F.col("start") - F.col("source_start")).orderBy("start")
+    fresh = F.coalesce((F.lag(F.col("start") + F.col("n")).over(line) < F.col("start")).cast("int"), F.lit(1))
+    numbered = pieces.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("doc_id", "source", "origin", (F.col("start") - F.col("source_start")).alias("shift"), "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("n"), "source", (F.col("start") - F.col("shift")).alias("source_start"))
+
+
+def quoted(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The words of the listed spans of each document, joined by one space."""
+    for batch in batches:
+        rows, size = [], 0
+        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            words = Words.plain(text)
+            for s in spans:
+                rows.append((doc_id, s["source_start"], s["n"], b" ".join(words[s["source_start"] : s["source_start"] + s["n"] + k - 1])))
+                size += len(rows[-1][3])
+                if size > 8_000_000:
+                    yield pd.DataFrame(rows, columns=["source", "source_start", "n", "words"])
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["source", "source_start", "n", "words"])
+
+
 def repeated_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Rows (doc_id, start, n): ``n`` windows of ``k`` words, from word ``start`` on, whose words also start earlier (smaller doc_id, or an earlier word).
+    """Rows (doc_id, start, n, words): ``n`` windows of ``k`` words, from word ``start`` on, whose words also start earlier (smaller doc_id, or an earlier word); ``words`` are those of
+    the earlier place, joined by one space.
 
-    ``df`` has doc_id and text, doc_id being unique; null and empty texts have no window, nor have texts under ``k`` words. Other columns aren't read.
+    ``df`` has doc_id and text; null and empty texts have no window, nor have texts under ``k`` words. Rows with a null doc_id have none either; of rows repeated with one doc_id none
+    is earlier than the other. Other columns aren't read. An empty table gives no rows.
     """
     again = cut(anchors(df, Words, k, m).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    return repeated_spans(df, again, Words, k, m, 0, keep_first=True)
+    release(df.sparkSession)
+    found = cut(occurrences(df, Words, k, m).join(again, "anchor"))
+    remove(again)
+    release(df.sparkSession)
+    classes, paths = classes_of(found, keep_first=True)
+    repeated = cut(compacted(classes.filter("times > 1")))
+    whole = found.join(repeated, ["anchor", "content"]).filter(later("source", "source_start")).select("doc_id", "start", "n", "source", "source_start", "origin")
+    edges = windows_apart(df, paths, Words, k)
+    met = cut(edges.groupBy("digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).filter("times > 1").select("digest", "first.doc_id", "first.start").toDF("digest", "source", "source_start"))
+    single = edges.join(met, "digest").filter(later("source", "source_start")).select("doc_id", "start", F.lit(1).alias("n"), "source", "source_start", F.lit(-1).cast("long").alias("origin"))
+    spans = cut(joined_up(whole.unionByName(single)))
+    remove(found, classes, paths, repeated, edges, met)
+    release(df.sparkSession)
+    asked = spans.select(F.col("source").alias("doc_id"), "source_start", "n").distinct()
+    words = cut(mapped(spans_to_text(df, asked, "inner"), partial(quoted, k=k), "source long, source_start long, n int, words binary"))
+    release(df.sparkSession)
+    return spans.join(words, ["source", "source_start", "n"]).select("doc_id", "start", "n", "words")
 
 
 def drop_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, text): the words left, joined by one space; the text is null where it was null."""
+    """Rows (doc_id, n_words, n_removed, text), one for each row of ``df``: the words left, joined by one space; the text is null where it was null."""
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                gone = covered(spans, len(words), k)
+                words = Words.plain(text)
+                same = [s for s in (() if spans is None else spans) if b" ".join(words[s["start"] : s["start"] + s["n"] + k - 1]) == s["words"]]
+                gone = covered(same, len(words), k)
                 kept = words if not gone.any() else [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 rows.append((doc_id, len(words), len(words) - len(kept), None if text is None else b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"])
 
-    return spans_to_text(df, repeated_passages(df, k, m), "left").mapInPandas(finish, "doc_id long, n_words long, n_removed long, text string")
+    return mapped(spans_to_text(df, repeated_passages(df, k, m), "left"), finish, "doc_id long, n_words long, n_removed long, text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

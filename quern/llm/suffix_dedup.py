@@ -1,8 +1,12 @@
-"""Suffix-array dedup: repeated byte strings, found with a logarithmic family of sorted suffix tables.
+"""Suffix-array dedup: repeated byte strings, found with a logarithmic family of sparse suffix arrays.
 
-The suffixes indexed are those that start at anchors: every 200-byte string holds an anchor that depends on its bytes alone, so equal strings have indexed suffixes at equal places.
-New batches of documents become sorted tables of suffixes (by their first ``M`` bytes, with a count), are merge-scanned against each existing level for suffixes met before, and
-merge with a level of their own size, and so on: after ``b`` batches there are at most log2(b) + 1 levels, and a suffix is rewritten as often at most.
+The suffixes indexed are those that start at anchors: every string of ``k`` bytes holds an anchor that depends on its bytes alone, so equal strings have indexed suffixes at equal
+places, ``m`` bytes or more before their end. A new batch of documents becomes a suffix array: its suffixes, by their first DEPTH bytes, in order. It is merge-scanned with all existing
+levels: in the common order, what a suffix shares with any other is what it shares with its neighbours, so one pass gives each suffix its longest common prefix. Levels of one size merge
+into the next, so after ``b`` batches there are at most log2(b) + 1, and a suffix is rewritten as often at most.
+
+A string that repeats needs a suffix whose common prefix reaches its end; that leaves few places. There, whole contents are compared: fragments, then blocks, then single strings, by
+digests of 128 bits.
 """
 
 from __future__ import annotations
@@ -10,70 +14,116 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.fragments import Bytes, anchors, covered, repeated_spans, spans_to_text
-from quern.llm.shared import cut, documents, only, remove
+from quern.llm.fragments import Bytes, anchors, classes_of, covered, occurrences, pieces, spans_to_text, windows_apart
+from quern.llm.shared import cut, documents, mapped, only, release, remove
+
+K, M, DEPTH, BLOCK = 200, 32, 64, 16
+
+
+def scanned(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The longest common prefix of each suffix with another one, from suffixes (suffix, times) in order: rows (suffix's digest, reach) where it is ``least`` or more."""
+    last, before = np.zeros((0, depth), np.uint8), 0  # the row whose next one isn't known yet, and what it shares with the one before it
+    many_last = False
+
+    def found(rows: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        kept = np.flatnonzero(reach >= least)
+        digests = [xxhash.xxh3_128_digest(rows[i].tobytes()) for i in kept.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(reach[kept].astype(np.int32))], names=["suffix", "reach"])
 
-K, M, BLOCK = 200, 32, 16
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, depth)
+        rows = np.concatenate([last, own])
+        many = np.concatenate([[many_last] * len(last), np.asarray(batch.column(1)) > 1]).astype(bool)
+        unlike = rows[1:] != rows[:-1]
+        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), depth)
+        above = np.concatenate([[before], common]) if len(last) else np.concatenate([[0], common])
+        reach = np.where(many[:-1], depth, np.maximum(above[:-1], common))
+        yield found(rows[:-1], reach)
+        last, before, many_last = rows[-1:], int(above[-1]), bool(many[-1])
+    if len(last):
+        yield found(last, np.array([depth if many_last else before]))
 
 
 class SuffixIndex:
-    """Levels of sorted suffix tables with columns (anchor, times); level ``i`` holds 2^i batches."""
+    """Levels of sparse suffix arrays, tables (suffix, times) in order; level ``i`` holds 2^i batches."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = DEPTH, least: int = M) -> None:
+        self.depth, self.least = depth, least
         self.levels: dict[int, DataFrame] = {}
         self.met: list[DataFrame] = []
-        self.known: DataFrame | None = None
+
+    def _sorted(self, table: DataFrame) -> DataFrame:
+        """In order; suffixes that share ``least`` bytes come into one part, where neighbours meet."""
+        return table.repartitionByRange(F.substring("suffix", 1, self.least)).sortWithinPartitions("suffix")
+
+    @staticmethod
+    def _summed(*tables: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables).groupBy("suffix").agg(F.sum("times").alias("times"))
 
     def add(self, suffixes: DataFrame) -> None:
-        """Index a batch of suffixes (anchor); a batch may be empty."""
-        table = cut(suffixes.groupBy("anchor").agg(F.count("*").alias("times")).sortWithinPartitions("anchor"))
-        self.met.append(table.filter("times > 1").select("anchor"))
-        for level in self.levels.values():
-            self.met.append(table.join(level, "anchor", "left_semi").select("anchor"))
-        # matches are written before the levels they were read from merge and go
-        met = cut(self._union(self.met).distinct())
-        if self.known is not None:
-            remove(self.known)
-        self.known, self.met = met, [met]
-        size = 0
+        """Index a batch of suffixes (suffix), which may be empty: merge-scan it with the levels, then merge it with those of its size."""
+        batch = cut(suffixes.groupBy("suffix").agg(F.count("*").alias("times")))
+        both = cut(self._summed(batch, *self.levels.values())) if self.levels else batch
+        self.met.append(cut(self._sorted(both).mapInArrow(partial(scanned, depth=self.depth, least=self.least), "suffix binary, reach int")))
+        size, merging = 0, [batch]
         while size in self.levels:
-            older = self.levels.pop(size)
-            merged = cut(table.unionByName(older).groupBy("anchor").agg(F.sum("times").alias("times")).sortWithinPartitions("anchor"))
-            remove(table)
-            remove(older)
-            table, size = merged, size + 1
-        self.levels[size] = table
+            merging.append(self.levels.pop(size))
+            size += 1
+        # all levels merge: what was scanned is the new one
+        self.levels[size] = cut(self._sorted(batch if len(merging) == 1 else self._summed(*merging) if self.levels else both))
+        remove(*merging, *([both] if both is not batch else []))
 
     def repeated(self) -> DataFrame:
-        """Each suffix that was met more than once, in one batch or in several; the levels go, as nothing more is added."""
-        for level in self.levels.values():
-            remove(level)
+        """Rows (suffix, reach): the digest of each suffix that shares ``least`` bytes or more with another, and how many (``depth`` at most). The levels go, as nothing more is added."""
+        remove(*self.levels.values())
         self.levels = {}
-        return self.known
-
-    @staticmethod
-    def _union(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for table in tables[1:]:
-            out = out.unionByName(table)
+        out = cut(reduce(DataFrame.unionByName, self.met).groupBy("suffix").agg(F.max("reach").alias("reach")))
+        remove(*self.met)
         return out
 
 
-def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4) -> DataFrame:
+def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4, depth: int = DEPTH) -> DataFrame:
     """Rows (doc_id, start, n): ``n`` windows of ``k`` bytes from byte ``start`` on that also start anywhere else, overlaps included.
 
-    ``df`` has doc_id (unique) and text; null, empty and shorter texts have no window. Documents are dealt to ``batches`` by a hash of doc_id.
+    ``df`` has doc_id and text; null, empty and shorter texts have no window, and neither have rows with a null doc_id. Rows repeated with one doc_id count each, so that what they share
+    is repeated. Documents are dealt to ``batches`` by a hash of doc_id. Other columns aren't read. An empty table gives no rows.
     """
-    index = SuffixIndex()
-    docs = only(df, "doc_id", "text")
+    spark, index, docs = df.sparkSession, SuffixIndex(depth, m), only(df, "doc_id", "text")
     for batch in range(batches):
-        index.add(anchors(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch), Bytes, k, m, key=m))
-    return repeated_spans(docs, index.repeated(), Bytes, k, m, m, keep_first=False, block=min(BLOCK, k - m + 1))
+        index.add(anchors(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch), Bytes, k, m, depth))
+        release(spark)
+    repeated = index.repeated()
+    # a window ends k bytes after its start, which is ``at`` bytes or less before the anchor
+    long = (F.col("reach") >= depth) | (F.col("at") + F.col("reach") >= k)
+    found = cut(occurrences(docs, Bytes, k, m, depth).join(repeated, "suffix").filter(long).drop("suffix", "reach"))
+    remove(repeated)
+    release(spark)
+    wholes, read, parts = [], [found], found
+    schema = "anchor binary, content binary, doc_id long, start long, n int, at int"
+    for last in (False, True):
+        classes, paths = classes_of(parts, keep_first=False)
+        read += [classes, paths]
+        wholes.append(parts.join(classes.filter("times > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "start", "n"))
+        if not last:
+            parts = cut(mapped(spans_to_text(docs, paths, "inner"), partial(pieces, kind=Bytes, k=k, block=min(BLOCK, k - m + 1)), schema))
+            read.append(parts)
+    edges = windows_apart(docs, paths, Bytes, k)
+    met = cut(edges.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1").select("digest"))
+    spans = cut(reduce(DataFrame.unionByName, [*wholes, edges.join(met, "digest").select("doc_id", "start", F.lit(1).alias("n"))]))
+    remove(*read, edges, met)
+    release(spark)
+    return spans
 
 
 def drop_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4) -> DataFrame:
@@ -95,7 +145,7 @@ def drop_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4) -> Dat
                 rows.append((doc_id, len(data), len(data) - len(left), runs, left))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return spans_to_text(df, repeated_strings(df, k, m, batches), "left").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return mapped(spans_to_text(df, repeated_strings(df, k, m, batches), "left"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
