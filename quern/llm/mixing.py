@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
-Each document gets a key by hash, and the documents of a source are range-sorted by it. Keys are uniform, so their leading bits cut a source into ranges of like size without
-sampling. Sizes are summed by range, then over ranges, then within each range, and each source is cut at its budget, after whole epochs where the budget exceeds its size.
+Each document gets a key by hash, and the documents of a source are range-sorted by it. Keys are uniform, so their leading bits cut a source into cells of like size without
+sampling. Sizes are summed by cell, over cells in levels, and within each cell; each source is cut at its budget, after whole epochs where the budget exceeds its size. Budgets come
+from a sorted table of sources, of which there may be as many as documents.
 """
 
 from __future__ import annotations
@@ -11,36 +12,52 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import cut, documents, n_words_of, only, words_of
+from quern.llm.shared import cut, documents, n_words_of, only, remove, words_of
+from quern.operators.prefix import bits_for, cell, starts, uniform
 
 #: Weights by rank of the source, repeating; the mix's size and the most of a source, as multiples of the input.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2.0
-#: Documents in a range of keys, about.
-RANGE = 256
-#: Sources that the driver plans with; a row of three numbers each. More raise an error.
-MOST_SOURCES = 100_000
-
-
-def key_of(doc_id: Column, seed: int) -> Column:
-    """A number of 60 bits from an MD5 digest of the id, which other engines compute alike."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-
-
-def budgets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> dict[str | None, float]:
-    """Target of each source: by weight, in the order of code points with null last; what exceeds ``epochs`` times a source's size is shared anew until none does."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out = dict.fromkeys(names, 0.0)
-    left, open_ = share * sum(sizes.values()), set(names)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in names if s in open_ and left * weight[s] >= epochs * sizes[s] * total]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = epochs * sizes[s]
-        left, open_ = max(0.0, left - sum(out[s] for s in over)), open_.difference(over)
-    return out
+#: Rows that a sorted run of sources has, at least about.
+RUN = 4096
+
+
+def sorted_runs(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` written in order, with a column run: runs of RUN rows or more follow each other by number. There are at most as many runs as a run has rows."""
+    rows = df.count()
+    runs = max(1, min(rows // RUN, math.isqrt(rows)))
+    return cut(df.repartitionByRange(runs, *order).withColumn("run", F.spark_partition_id()))
+
+
+def before(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """``df`` (with a column run) and the sum of ``value`` over the rows before: within the run, and over the runs before."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("run").agg(F.sum(value).alias("#sum")).withColumn("#from", F.coalesce(F.sum("#sum").over(upto(Window.orderBy("run"))), F.lit(0)))
+    within = F.coalesce(F.sum(value).over(upto(Window.partitionBy("run").orderBy(*order))), F.lit(0))
+    return df.withColumn("#in", within).join(sums.drop("#sum"), "run").withColumn(name, F.col("#from") + F.col("#in")).drop("#from", "#in")
+
+
+def budgets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """Rows (*columns of totals, target) for sources (source, size): shares by weight, in the order of code points with null last; none above ``epochs`` times its source's size.
+
+    What sources of full size leave is shared anew by weight until none is above; that ends at one level for each unit of weight, below which lie all sources that are full.
+    """
+    columns = totals.columns
+    by_name = [F.col("source").asc_nulls_last()]
+    named = sorted_runs(totals, *by_name)
+    ranked = before(named, F.lit(1), by_name, "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighted = ranked.select(*columns, weight.alias("weight")).withColumn("full", F.col("size") * epochs).withColumn("ratio", F.col("full") / F.col("weight"))
+    by_ratio = [F.col("ratio"), *by_name]
+    runs = sorted_runs(weighted, *by_ratio)
+    lined = cut(before(before(runs, F.col("full"), by_ratio, "below"), F.col("weight"), by_ratio, "lighter"))
+    remove(named, runs)
+    whole = lined.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(float(whole["size"] or 0) * share) - F.col("below")
+    wide = F.lit(float(whole["weight"] or 0)) - F.col("lighter")
+    # the first source that stays under its full size when what is left is shared among it and those after it
+    level = lined.filter(left * F.col("weight") < F.col("full") * wide).agg(F.min_by(left / wide, F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
+    target = F.col("full") if level is None else F.least(F.col("full"), F.greatest(F.lit(0.0), F.col("weight") * level))
+    return lined.select(*columns, target.cast("double").alias("target"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = 0) -> DataFrame:
@@ -48,27 +65,20 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
 
     ``taken`` is the number of words that the mix takes of a document, repeats counted: whole epochs of its source, and in the last one all words before the cut. A source's taken
     words are its target, rounded. Null and empty texts have size 0 and nothing is taken of them; a null source is one source. Ties of keys go by doc_id; repeated rows are taken
-    one by one. Other columns aren't read.
+    one by one, and a null doc_id is an id like others. Other columns aren't read. An empty table gives no rows.
     """
-    sized = cut(only(df, "doc_id", "text", "source").select("doc_id", "source", n_words_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    spark = df.sparkSession
-    target = budgets({r.source: r["size"] for r in totals}, weights, share, epochs)
-    bits = max(0, math.ceil(math.log2(max([1, *(r.docs for r in totals)]) / RANGE)))
-    plan = spark.createDataFrame([(r.source, r["size"], float(target[r.source]), math.floor(target[r.source] + 0.5)) for r in totals], "source string, source_size long, target double, budget long")
-    # gone through in order: ranges of the key, then keys
-    ranged = sized.withColumn("range", F.shiftrightunsigned("key", 60 - bits) if bits else F.lit(0).cast("long"))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    plan = plan.withColumnRenamed("source", "p")
-    joined = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p")))
-    rest = F.col("budget") - F.col("source_size") * F.expr("budget div greatest(source_size, 1)") - F.col("from") - F.col("at")
+    group = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
+    sized = cut(only(df, "doc_id", "text", "source").select("doc_id", "source", group.alias("group"), n_words_of(F.col("text")).alias("size"), uniform(F.lit(seed), F.col("doc_id")).alias("key")))
+    totals = cut(sized.groupBy("group", "source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
+    most = totals.agg(F.max("docs")).first()[0] or 0
+    bits = bits_for(most)
+    plan = budgets(totals, weights, share, epochs).select("group", F.col("size").alias("source_size"), "target", F.floor(F.col("target") + 0.5).alias("budget"))
+    # a document finds its source's plan and what lies before its cell by one join, on a key that no source owns alone
+    cells = starts(sized, ["group"], "key", F.col("size"), bits).join(plan, "group")
+    within = Window.partitionBy("group", "cell").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.drop("source").withColumn("cell", cell(F.col("key"), bits)).withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(cells, ["group", "cell"])
+    rest = F.col("budget") - F.col("source_size") * F.expr("budget div greatest(source_size, 1)") - F.col("start") - F.col("at")
     taken = F.col("size") * F.expr("budget div greatest(source_size, 1)") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -76,7 +86,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
 def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
     """The mix itself: rows of ``df`` with all their columns, repeated for each epoch; the text of the one document at a source's cut ends there.
 
-    Rows of which nothing is taken go; doc_id is unique in ``df``.
+    Rows of which nothing is taken go, null and empty texts among them. doc_id is unique in ``df``; rows with a null one go.
     """
     taken = mix(df, **options).filter("taken > 0").select("doc_id", "size", "taken")
     text = F.when(F.col("#part") >= F.col("#size"), F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("#part").cast("int")), " "))
