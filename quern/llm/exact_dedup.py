@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import BLANK, cut, documents, only
+from quern.llm.shared import BLANK, cut, documents, only, remove
 
 #: A digest is salted when more rows than HOT and than 1 / SHARES of all rows have it: fewer than SHARES digests, of 32 bytes each, can.
 HOT, SHARES, SALTS = 64, 4096, 16
@@ -35,7 +35,9 @@ def classes(df: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:
     salted = text.join(F.broadcast(often), "sha", "left").select("sha", salt, "t", "doc_id", F.lit(1).alias("n")).groupBy("sha", "salt", "t").agg(*best)
     # what isn't salted is final here, and its text is let go; salt winners keep theirs
     parts = cut(salted.select("sha", "salt", F.xxhash64("t").alias("check"), F.when(F.col("salt") >= 0, F.col("t")).alias("t"), "doc_id", "n"))
-    groups = parts.groupBy("sha", "check", "t").agg(*best).select("sha", "check", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    # written, so that adaptive execution can split a hot digest in the join
+    groups = cut(parts.groupBy("sha", "check", "t").agg(*best).select("sha", "check", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")))
+    remove(parts)
     return ids.join(groups, ["sha", "check"]).select("doc_id", "keep_id", "group_size", "sha")
 
 
