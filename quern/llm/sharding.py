@@ -2,26 +2,28 @@
 
 Documents with equal texts are linked through their group. Groups larger than a small part of a shard, of which there are few, are placed first, largest first, each in one shard; only
 a group that no shard has room for is cut, into as few parts as fill the emptiest shards. In each round a join gives every other document the shard where most of its group lies, and
-documents move there as far as the shards' quotas allow; the share that may enter a shard is drawn by a hash of the group, so that groups move together. At the end a distributed ranking gives each shard exactly its number of rows, moving the surplus of full shards.
+documents move there as far as the shards' quotas allow; the share that may enter a shard is drawn by a hash of the group, so that groups move together. At the end a distributed
+ranking gives each shard exactly its number of rows: the surplus of full shards moves, texts without a copy before others, and then whole groups one after another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import cut, documents, only
+from quern.llm.shared import cut, documents, only, remove
+from quern.operators.prefix import BITS, numbered
 
 SHARDS, ROUNDS = 16, 3
-#: Rows of a group that is not placed first, at most, as a part of a shard; rows in a range of slots, about; how far above its quota a shard may be while documents move.
-PART, RANGE, SLACK = 32, 256, 0.05
+#: Rows of a group that is not placed first, at most, as a part of a shard; how far above its quota a shard may be while documents move; bits of a group in the order of slots.
+PART, SLACK, GROUP_BITS = 32, 0.05, 12
 
 
 def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot), one for each row of ``df`` (doc_id, text); the numbers of rows of two shards differ by one at most.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 1, ``slot`` counts a shard's rows from 0 without gaps. Null texts are one group, empty ones another. Rows are told apart by
-    doc_id: repeated rows get slots of their own. Other columns aren't read. An empty table gives no rows.
+    doc_id: repeated rows get slots of their own, as do rows with a null one. Other columns aren't read. An empty table gives no rows.
     """
     raw = F.coalesce(F.encode("text", "utf-8"), F.lit(b"").cast("binary"))
     base = only(df, "doc_id", "text").select(
@@ -30,29 +32,32 @@ def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFram
     base = cut(base.select("*", F.hash("doc_id").alias("h")))
     rows = base.count()
     most = max(8, rows // (shards * PART))
-    groups = base.groupBy("sha").agg(F.count("*").alias("times"))
+    # written, so that adaptive execution can split a hot group in the join
+    groups = cut(base.groupBy("sha").agg(F.count("*").alias("times")).filter("times > 1"))
     quotas = [rows // shards + (i < rows % shards) for i in range(shards)]
     large = groups.filter(F.col("times") > most).collect()  # shards * PART at most
     plan, free = planned(sorted(((r.sha, r.times) for r in large), key=lambda g: (-g[1], bytes(g[0]))), quotas)
     fixed = F.broadcast(df.sparkSession.createDataFrame(plan, "sha binary, piece int, start long, end long, to int"))
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), "times")
-    found = base.join(groups, "sha").withColumn("at", at).join(fixed.withColumnRenamed("sha", "key"), (F.col("sha") == F.col("key")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
+    found = base.join(groups, "sha", "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn("at", at).join(fixed.withColumnRenamed("sha", "key"), (F.col("sha") == F.col("key")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(free))))
     dealt = sum(((draw >= sum(free[: i + 1])).cast("int") for i in range(shards - 1)), F.lit(0))
     placed = found.select(
         "doc_id", "size", "text_crc32", "h", F.xxhash64("sha", F.coalesce("piece", F.lit(0))).alias("chunk"), F.col("to").isNotNull().alias("fixed"), (F.col("to").isNull() & (F.col("times") > 1)).alias("linked"), F.coalesce("to", dealt).alias("shard")
     )
     placed = cut(placed)
+    remove(base, groups)
     quota = rows / shards * (1 + SLACK)
     for step in range(rounds):
         near = placed.filter("linked").groupBy("chunk", "shard").agg(F.count("*").alias("n"))
-        want = near.groupBy("chunk").agg(F.max_by("shard", F.struct("n", F.hash("chunk", "shard"))).alias("want"))
+        want = cut(near.groupBy("chunk").agg(F.max_by("shard", F.struct("n", F.hash("chunk", "shard"))).alias("want")))
         asked = placed.join(want, "chunk", "left").withColumn("want", F.coalesce("want", "shard"))
         flows = {(r["shard"], r.want): r.n for r in asked.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()}  # shards squared at most
         share = entering(flows, shards, quota)
         odds = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("want") + 1)
         draw = F.pmod(F.xxhash64("chunk", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
         new = cut(asked.withColumn("shard", F.when(draw < odds, F.col("want")).otherwise(F.col("shard"))).select(placed.columns))
+        remove(placed, want)
         placed = new
     return slots(placed, rows, shards)
 
@@ -84,13 +89,11 @@ def entering(flows: dict[tuple[int, int], int], shards: int, quota: float) -> li
 
 
 def slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:
-    """Rank the rows of each shard, those of groups placed first before others, by ranges of hashes; rows ranked above their shard's number fill the gaps of others."""
-    ranges = max(1, rows // (shards * RANGE))
-    ranged = placed.withColumn("range", F.when(F.col("fixed"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ranges)) - ranges).otherwise(F.pmod(F.xxhash64("chunk", F.lit(2)), F.lit(ranges))))
-    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("shard", "range").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("shard", "range").orderBy("chunk", "doc_id", "h")
-    ranked = ranged.withColumn("rank", F.row_number().over(within) - 1).join(starts.drop("n"), ["shard", "range"]).withColumn("slot", (F.col("from") + F.col("rank")).cast("long"))
+    """Rank the rows of each shard: groups placed first, other groups, texts without a copy. Rows ranked above their shard's number fill the gaps of others."""
+    group, doc = F.shiftrightunsigned(F.xxhash64("chunk", F.lit(2)), 64 - GROUP_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 64 - (BITS - 2 - GROUP_BITS))
+    order = F.when(F.col("fixed"), 0).when(F.col("linked"), 1).otherwise(2).cast("long")
+    key = F.shiftleft(F.shiftleft(order, GROUP_BITS) + group, BITS - 2 - GROUP_BITS) + doc
+    ranked = numbered(placed.withColumn("key", key), ["shard"], "key", ["chunk", "doc_id", "h"], 4 * rows // shards).withColumnRenamed("nr", "slot")
     have = {r["shard"]: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
     moves, gaps = [], [[s, have.get(s, 0), quota[s]] for s in range(shards) if have.get(s, 0) < quota[s]]
