@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, let, only
+from quern.llm.shared import cut, documents, let, only
 
 #: Fixed patterns of the base kinds, in the order of kinds; the keywords of assign match in either case.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -46,7 +46,10 @@ def passing(kind: str, match: Column) -> Column:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, kind, start, end): matches of each pattern, leftmost and not overlapping; places in code points, the end exclusive."""
+    """Rows (row, kind, start, end): matches of each pattern, leftmost and not overlapping; places in code points, the end exclusive.
+
+    ``row`` is the doc_id with a hash of the text: it stays the same when a lost executor's work is done again, and rows repeated as a whole have one.
+    """
     text = F.col("text")
 
     def matches(kind: str) -> Column:
@@ -56,12 +59,11 @@ def candidates(df: DataFrame) -> DataFrame:
         rows = let(F.struct(found.alias("m"), gaps.alias("g")), lambda x: F.transform(x["m"], lambda m, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(F.get(x["g"], i)).alias("gap"), F.length(m).alias("len"), passing(kind, m).alias("ok"))))
         return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>"))
 
-    rows = only(df, "doc_id", "text").filter("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "doc_id", F.explode(F.concat(*map(matches, KINDS))).alias("m"))
+    rows = only(df, "doc_id", "text").filter("text IS NOT NULL").withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    rows = rows.select("row", F.explode(F.concat(*map(matches, KINDS))).alias("m")).select("row", "m.*").distinct()
     upto = Window.partitionBy("row", "kind").orderBy("i")
-    rows = rows.select("row", "doc_id", "m.*")
     start = F.sum("gap").over(upto.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("len").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start", start).filter("ok").select("row", "doc_id", "kind", "start", (F.col("start") + F.col("len")).alias("end"))
+    return rows.withColumn("start", start).filter("ok").select("row", "kind", "start", (F.col("start") + F.col("len")).alias("end"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -73,7 +75,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = parts.filter(F.col("kind") >= 3).withColumn("bin", F.explode(F.sequence(seat(F.col("start")) - 1, seat(F.col("end")) + 1)))
     other = parts.filter("part != 'endpoint'").select("row", F.col("part").alias("o_part"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.sequence(seat(F.col("start")), seat(F.col("end")))).alias("bin"))
     met = weak.join(other, ["row", "bin"]).filter((F.col("part") != F.col("o_part")) & (F.col("o_start") <= F.col("end") + scope) & (F.col("start") <= F.col("o_end") + scope))
-    keys = ("row", "doc_id", "kind", "start", "end")
+    keys = ("row", "kind", "start", "end")
     sides = met.groupBy(*keys).agg(F.countDistinct("o_part").alias("sides"))
     weak_ok = sides.filter((F.col("sides") == 2) | (F.col("kind") != KINDS.index("endpoint"))).select(*keys)
     return found.filter(F.col("kind") < 3).select(*keys).unionByName(weak_ok)
@@ -82,12 +84,14 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(df: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Rows (doc_id, spans), one for each row of ``df`` (doc_id, text): ``spans`` are structs (start, kind, end), kind by its place in KINDS, in that order.
 
-    Null and empty texts have none. Spans overlap where kinds do. Rows repeated with one doc_id get the spans of all of them, each once. Other columns aren't read.
+    Null and empty texts have none. Spans overlap where kinds do. Rows repeated with one doc_id, the null one too, get the spans of all of them, each once. Other columns aren't
+    read. An empty table gives no rows.
     """
-    spans = linked(candidates(df), scope).select("doc_id", F.struct("start", "kind", "end").alias("span")).distinct()
-    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    spans = linked(cut(candidates(df)), scope).select(F.col("row.doc_id").alias("id"), F.struct("start", "kind", "end").alias("span")).distinct()
+    listed = spans.groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return only(df, "doc_id").join(listed.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    ids = only(df, "doc_id")
+    return ids.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
