@@ -23,7 +23,7 @@ COMMON = {
 #: Character classes that are counted; blanks and all other characters are two more bins.
 CLASSES = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:!?]+", "n_symbols": "[^#*$%&|<>]+"}
 #: Least words of a judged document; least characters of a reference; the distances above which a document is far from a language.
-LEAST_WORDS, LEAST_CHARS, FAR_CHARS, FAR_WORDS = 30, 2_000, 0.25, 0.6
+LEAST_WORDS, LEAST_CHARS, FAR_CHARS, FAR_WORDS = 30, 2_000, 0.25, 0.3
 
 
 def repeat_words(words: Column) -> Column:
