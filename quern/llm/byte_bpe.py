@@ -11,6 +11,7 @@ import base64
 import gc
 import hashlib
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import chain
@@ -22,13 +23,15 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.shared import documents, held, only
+from quern.llm.shared import documents, held, mapped, only
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces and pretokens that a worker keeps of each of two generations, and new ones that are encoded together; bytes of results in a frame.
 PIECES, WORDS, TOGETHER, FRAME = 100_000, 200_000, 60_000, 8_000_000
 #: Longest word, in bytes, of which the leftmost pair alone is contracted in a round; rows that the rounds of one query add up to, about; rounds of longer words in one query.
 SHORT, ROWS, ROUNDS = 127, 3_000_000, 16
+#: MB of a task's database, but for words that need more.
+MEMORY = 250
 #: Where a space or newline isn't alone between two characters that aren't white, or the mark of cuts is in the text.
 CROWDED = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z|\0")
 
@@ -48,21 +51,25 @@ WITH RECURSIVE step(place, pair, live) AS (
 )
 SELECT place >> 8 AS word, pair >> 32 AS id FROM step WHERE NOT live ORDER BY place
 """
-#: The same for long words, where all places of a word's least pair are contracted in one round, leftmost first where they overlap. That equals the leftmost alone unless a merged
-#: token and what follows it make a token of lower rank over the pair's next place. A query ends after some rounds, so that what it holds is bounded.
+#: The same for long words, where a round contracts many places of a word's least pair, which are those that one by one would come next: leftmost first, every second where they
+#: overlap, up to the first that makes a pair of lower rank with what is before or after it. Up to there no other pair becomes the least, as a longer token can't have the same rank;
+#: from there on the next rounds decide. A query ends after some rounds, so that what it holds is bounded.
 MERGE_LONG = """
 WITH RECURSIVE step(word, pos, id, live, round) AS (
   SELECT word, pos, id, true, 0 FROM bytes
   UNION ALL
   (WITH pair AS MATERIALIZED (
-     SELECT word, pos, s.id, next_id, next_pos, m.id AS merged, round
-     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos, round FROM step WHERE live AND round < {rounds} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+     SELECT word, pos, s.id, next_pos, end_pos, before_id, after_id, m.id AS merged, round
+     FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos, lead(pos, 2) OVER w AS end_pos, lag(id) OVER w AS before_id, lead(id, 2) OVER w AS after_id, round
+       FROM step WHERE live AND round < {rounds} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
      LEFT JOIN merges m ON m.pair = s.id << 32 | s.next_id),
    least AS MATERIALIZED (SELECT word, min(merged) AS least FROM pair GROUP BY word),
-   hit AS MATERIALIZED (SELECT p.word, pos, next_pos, id, next_id, merged FROM pair p JOIN least l ON p.word = l.word AND p.merged = l.least),
-   best AS MATERIALIZED (SELECT word, pos, next_pos, merged FROM hit WHERE id <> next_id UNION ALL
-     SELECT word, pos, next_pos, merged FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth
-       FROM (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(next_pos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hit WHERE id = next_id))) WHERE nth % 2 = 1)
+   hit AS MATERIALIZED (SELECT p.*, CASE WHEN lag(next_pos) OVER w = pos THEN 0 ELSE 1 END AS fresh FROM pair p JOIN least l ON p.word = l.word AND p.merged = l.least WINDOW w AS (PARTITION BY p.word ORDER BY pos)),
+   run AS MATERIALIZED (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM hit),
+   turn AS MATERIALIZED (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1),
+   seen AS MATERIALIZED (SELECT *, CASE WHEN lag(end_pos) OVER w = pos THEN merged ELSE before_id END AS left_id FROM turn WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   best AS MATERIALIZED (SELECT s.word, s.pos, s.next_pos, s.merged FROM seen s LEFT JOIN merges x ON x.pair = s.left_id << 32 | s.merged LEFT JOIN merges y ON y.pair = s.merged << 32 | s.after_id
+     QUALIFY coalesce(sum(CASE WHEN x.id < s.merged OR y.id < s.merged THEN 1 ELSE 0 END) OVER (PARTITION BY s.word ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)
    SELECT p.word, p.pos, coalesce(b.merged, p.id), l.least IS NOT NULL, round + 1
    FROM pair p JOIN least l ON p.word = l.word LEFT JOIN best b ON p.word = b.word AND p.pos = b.pos ANTI JOIN best x ON p.word = x.word AND p.pos = x.next_pos)
 )
@@ -105,7 +112,8 @@ class Coder:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces, self.words = Kept(PIECES), Kept(WORDS)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.spill = tempfile.TemporaryDirectory()  # this worker's own, for what a word of many MB needs beyond the limit
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": self.spill.name})
         merges = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pd.DataFrame(merges, columns=["pair", "id"], dtype="int64"))
         self._table("vocabulary", pd.DataFrame({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]}))
@@ -139,12 +147,14 @@ class Coder:
         return rows["word"], rows["id"]
 
     def _long(self, word: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.db.execute(f"SET memory_limit = '{max(MEMORY, len(ids) // 1500)}MB'")  # beyond about 400 kB a word's windows take 600 bytes or so for each of its bytes
         rows, done = {"word": word, "pos": pos, "id": ids, "live": np.ones(len(ids), bool)}, []
         while rows["live"].any():
             self._table("bytes", pd.DataFrame({k: rows[k][rows["live"]] for k in ("word", "pos", "id")}))
             rounds = max(1, min(ROUNDS, ROWS // int(rows["live"].sum())))
             rows = self.db.execute(MERGE_LONG.format(rounds=rounds)).fetchnumpy()
             done.append([rows[k][~rows["live"]] for k in ("word", "id")])
+        self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
         of, found = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(of, kind="stable")
         return of[order], found[order]
@@ -247,13 +257,13 @@ def encode(df: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no ids. Special tokens aren't recognised. Other columns aren't read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    return only(df, "doc_id", "text").mapInPandas(partial(coded, path=path, digest=False), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return mapped(only(df, "doc_id", "text"), partial(coded, path=path, digest=False), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def encode_digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """``encode`` with SHA-256 digests instead of the ids and bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
-    out = only(df, "doc_id", "text").mapInPandas(partial(coded, path=path, digest=True), "doc_id long, n_tokens long, ids string, decoded string")
+    out = mapped(only(df, "doc_id", "text"), partial(coded, path=path, digest=True), "doc_id long, n_tokens long, ids string, decoded string")
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
