@@ -4,8 +4,10 @@ import hashlib
 import random
 import struct
 
-import pytest
 import public_tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
@@ -49,6 +51,64 @@ def test_substring(docs, empty):
     assert substring_dedup.drop_passages(empty).count() == 0
 
 
+def test_repeated_rows_and_null_ids(spark, docs):
+    """Rows of one doc_id are one document seen twice; rows without one stay as they are."""
+    passage, other = " ".join(WORDS[:70]), " ".join(WORDS[100:130])
+    rows = [(1, passage), (1, passage), (2, f"{other} {passage}"), (None, passage), (None, None), (3, passage[:-1]), (3, "short"), (None, other)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("words", F.lit("x"))
+    removed = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.drop_passages(table).collect())
+    assert removed == [(0, 0, 0), (0, 30, 0), (0, 70, 0), (1, 70, 0), (1, 70, 0), (2, 100, 70), (3, 1, 0), (3, 70, 69)]
+    size = len(passage)
+    left = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.drop_strings(table).collect())
+    assert left == [(0, 0, 0), (0, len(other), 0), (0, size, 0), (1, size, size), (1, size, size), (2, len(other) + 1 + size, size), (3, 5, 0), (3, size - 1, size - 1)]
+
+
+def test_words_decide(spark, monkeypatch):
+    """Passages whose digests are equal by accident, but not their words, stay."""
+    one, two = " ".join(WORDS[:40]), " ".join(WORDS[40:80])
+    table = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    spans = spark.createDataFrame([(2, 0, 21, one.encode()), (3, 0, 21, one.encode())], "doc_id long, start long, n int, words binary")
+    monkeypatch.setattr(substring_dedup, "repeated_passages", lambda *_: spans)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.drop_passages(table).collect()} == {1: 0, 2: 0, 3: 40}
+
+
+def test_graph(spark):
+    """Paths a-b, b-c join at b; at c two ways leave, so the joined path ends there; e-f has another source."""
+    place = "struct<doc_id:long,start:long,n:int,at:int>"
+    rows = [("p", (1, 10, 5, 0), 1, 2), ("q", (1, 15, 4, 0), 2, 3), ("r", (1, 19, 3, 0), 3, 4), ("s", (2, 0, 3, 0), 3, 5), ("t", (2, 3, 2, 0), 5, 6)]
+    paths = spark.createDataFrame([(1, c.encode(), f, h, t) for c, f, h, t in rows], f"anchor long, content binary, first {place}, head long, tail long")
+    assert {r.node: (r.ways_in, r.ways_out) for r in substring_dedup.nodes(paths).collect()} == {1: (0, 1), 2: (1, 1), 3: (1, 2), 4: (1, 0), 5: (1, 1), 6: (1, 0)}
+    assert {bytes(r.content).decode(): (r.source, r.source_start, r.origin) for r in substring_dedup.compacted(paths).collect()} == {"p": (1, 10, 10), "q": (1, 15, 10), "r": (1, 19, 19), "s": (2, 0, 0), "t": (2, 3, 0)}
+    pieces = spark.createDataFrame([(7, 100, 5, 1, 10, 10), (7, 105, 4, 1, 15, 10), (7, 120, 4, 1, 30, 10), (7, 109, 3, 1, 19, 19)], "doc_id long, start long, n int, source long, source_start long, origin long")
+    assert sorted(map(tuple, substring_dedup.joined_up(pieces).collect())) == [(7, 100, 9, 1, 10), (7, 109, 3, 1, 19), (7, 120, 4, 1, 30)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_merge_scan(size):
+    """The longest common prefix of each suffix with any other, whatever the batches."""
+    rng = random.Random(size)
+    table = sorted({bytes(rng.choices(b"ab", k=8)) for _ in range(60)})
+    times = [rng.choice([1, 1, 1, 2]) for _ in table]
+    batches = [pa.RecordBatch.from_arrays([pa.array(table[i : i + size]), pa.array(times[i : i + size])], names=["suffix", "times"]) for i in range(0, len(table), size)]
+    got = {bytes(d): r for b in suffix_dedup.scanned(iter([batches[0].slice(0, 0), *batches]), 8, 5) for d, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    common = lambda a, b: next((i for i in range(8) if a[i] != b[i]), 8)
+    want = {x: 8 if t > 1 else max(common(x, y) for y in table if y != x) for x, t in zip(table, times, strict=True)}
+    assert got == {xxhash.xxh3_128_digest(x): r for x, r in want.items() if r >= 5}
+
+
+def test_levels(spark, monkeypatch):
+    index = suffix_dedup.SuffixIndex(4, 2)
+    sizes = []
+    for batch in (["aaaa", "bbbb"], ["aabb"], [], ["cccc", "cccc"], ["bbbb"]):
+        index.add(spark.createDataFrame([(x.encode(),) for x in batch], "suffix binary"))
+        sizes.append(sorted(index.levels))
+        levels = [[bytes(r.suffix) for r in t.collect()] for t in index.levels.values()]
+        assert all(sorted(t) == t or spark.conf.get("spark.sql.shuffle.partitions") != "1" for t in levels)
+    assert sizes == [[0], [1], [0, 1], [2], [0, 2]]
+    got = {bytes(r.suffix): r.reach for r in index.repeated().collect()}
+    assert got == {xxhash.xxh3_128_digest(x): n for x, n in ((b"aaaa", 2), (b"aabb", 2), (b"bbbb", 4), (b"cccc", 4))}
+
+
 def test_suffix(docs, empty):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.drop_strings(docs).collect()}
     assert got == suffix_dedup.brute_force(pairs(docs))
@@ -84,7 +144,32 @@ def test_mixing(docs, empty):
     assert mixed.columns == docs.columns
     assert sum(len(r.text.split()) for r in mixed.collect()) == sum(s[1] for s in sizes.values())
     assert mixing.mix(empty).count() == 0
-    assert mixing.budgets({"a": 10, None: 0, "b": 1000}) == {"a": 20.0, "b": 1495.0, None: 0.0}
+
+
+def planned_targets(sizes: dict, weights=(3, 1, 2), share=1.5, epochs=2.0) -> dict:
+    """Targets by sharing anew until none is above its most."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, open_ = dict.fromkeys(names, 0.0), share * sum(sizes.values()), set(names)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] >= epochs * sizes[s] * total]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            out[s] = epochs * sizes[s]
+        left, open_ = left - sum(out[s] for s in over), open_.difference(over)
+    return out
+
+
+@pytest.mark.parametrize("run", [4096, 7])
+def test_budgets(spark, monkeypatch, run):
+    monkeypatch.setattr(mixing, "RUN", run)
+    rng = random.Random(run)
+    for sizes in ({"a": 10, None: 0, "b": 1000}, {}, {None: 5}, {"a": 0, "b": 0}, {f"s{i:03}": rng.choice([1, 5, 30, 30, 200, 5000]) for i in range(200)} | {None: 400}):
+        table = spark.createDataFrame(list(sizes.items()), "source string, size long").withColumn("target", F.lit("kept")).drop("target")
+        got = {r.source: r.target for r in mixing.budgets(table).collect()}
+        assert got == pytest.approx(planned_targets(sizes)) and set(got) == set(sizes)
 
 
 def test_sharding(docs, empty):
@@ -151,7 +236,9 @@ def test_bpe(docs, empty):
         ids = own.encode_ordinary(t or "")
         assert (bytes(r.ids), bytes(r.decoded), r.n_tokens) == (struct.pack(f"<{len(ids)}I", *ids), (t or "").encode(), len(ids))
     coder = byte_bpe.Coder(public_tokenizers.path(byte_bpe.VOCABULARY))
-    for text in ["  a  b\n c", "\n\n x\x1c y　z  ", "a\x1f b  c", "don't I'LL 's", "a" * 999, "ab" * 400 + "eth" * 99, "x\ny\n\nz\0 w", "日本語 😀\t\r\n", "a \x85b", "<|endoftext|>"]:
+    rng = random.Random(4)
+    some = ["".join(rng.choices(["ing", "an", "in", "er", "the", "ana", "ene", "tat", "iti"], k=90)) for _ in range(20)]
+    for text in ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), "ab" * 600_000, *some, "  a  b\n c", "\n\n x\x1c y　z  ", "a\x1f b  c", "don't I'LL 's", "a" * 999, "ab" * 400 + "eth" * 99, "x\ny\n\nz\0 w", "日本語 😀\t\r\n", "a \x85b", "<|endoftext|>"]:
         ids = own.encode_ordinary(text)
         assert next(coder.coded([text])) == (struct.pack(f"<{len(ids)}I", *ids), text.encode())
     assert byte_bpe.encode(empty).count() == 0
