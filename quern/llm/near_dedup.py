@@ -245,3 +245,20 @@ def brute_force(rows: list[tuple[int, str | None]], like: float = LIKE) -> dict[
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
     return {d: root(d) for d in ids}
+
+
+#: The same for DuckDB, by all pairs that share a shingle and a closure of links: for small tables alone.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ each AS (SELECT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+ bag AS (SELECT doc_id, s, count(*) AS c FROM each GROUP BY ALL),
+ sum_ AS (SELECT doc_id, sum(c) AS n, md5(string_agg(c || ':' || s, chr(10) ORDER BY s)) AS digest FROM bag GROUP BY doc_id),
+ named AS (SELECT d.doc_id, coalesce(n, 0) AS n, min(d.doc_id) OVER (PARTITION BY coalesce(digest, '')) AS rep FROM d LEFT JOIN sum_ USING (doc_id)),
+ own AS MATERIALIZED (SELECT bag.*, n FROM bag JOIN named USING (doc_id) WHERE doc_id = rep),
+ link AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+  HAVING sum(least(a.c, b.c)) >= {LIKE} * (any_value(a.n) + any_value(b.n) - sum(least(a.c, b.c))) - 1e-9),
+ both_ AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+ reach(rep, other) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT rep, y FROM reach JOIN both_ ON other = x),
+ part AS (SELECT rep, min(other) AS class_id FROM reach GROUP BY rep)
+SELECT doc_id, coalesce(class_id, rep) AS class_id, count(*) OVER (PARTITION BY coalesce(class_id, rep)) AS class_size, doc_id = coalesce(class_id, rep) AS kept FROM named LEFT JOIN part USING (rep)
+"""

@@ -113,3 +113,33 @@ def judged(df: DataFrame, least_words: int = LEAST_WORDS, far_chars: float = FAR
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).drop("char_distance", "word_distance")
+
+
+def quoted(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def oracle() -> str:
+    blank, names = r"'[\x20\x09-\x0D]+'", [w for c in COMMON.values() for w in c]
+    counts = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) AS {c}" for c, p in CLASSES.items())
+    classes = " + ".join(CLASSES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), {blank}), lambda x: x <> '') AS w FROM documents),
+ five AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)),
+ again AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM five QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1), (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id),
+ m AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS chars, length(regexp_replace(t, {blank}, '', 'g')) AS word_chars, {counts},
+  list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, {blank}, '', 'g') <> '') AS lines, list_transform(w, lambda x: rtrim(lower(x), '.,;:!?')) AS plain FROM d),
+ h AS (SELECT *, [{", ".join(CLASSES)}, chars - word_chars, word_chars - ({classes})] AS c, list_transform({quoted(names)}, lambda k: len(list_filter(plain, lambda x: x = k))) AS common FROM m),
+ q AS MATERIALIZED (SELECT * EXCLUDE (common), list_append(common, n_words - list_sum(common)) AS k FROM h),
+ bins AS (SELECT lang, kind, i, sum(x) AS n FROM (SELECT lang, 'c' AS kind, unnest(range(len(c))) AS i, unnest(c) AS x FROM q UNION ALL SELECT lang, 'k', unnest(range(len(k))), unnest(k) FROM q) WHERE lang IN {tuple(COMMON)} GROUP BY ALL),
+ ref AS (SELECT lang, list(n ORDER BY i) FILTER (WHERE kind = 'c') AS rc, list(n ORDER BY i) FILTER (WHERE kind = 'k') AS rk FROM bins GROUP BY lang HAVING sum(n) FILTER (WHERE kind = 'c') >= {LEAST_CHARS}),
+ pair AS (SELECT q.doc_id, list_transform(list_zip(c, rc), lambda z: [z[1] / greatest(list_sum(c), 1), z[2] / greatest(list_sum(rc), 1)]) AS pc, list_transform(list_zip(k, rk), lambda z: [z[1] / greatest(list_sum(k), 1), z[2] / greatest(list_sum(rk), 1)]) AS pk FROM q, ref),
+ js AS (SELECT doc_id, {" , ".join(f"sqrt(greatest(0, list_sum(list_transform({p}, lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2)) AS {p}" for p in ("pc", "pk"))} FROM pair),
+ far AS (SELECT doc_id, min(greatest(pc / {FAR_CHARS}, pk / {FAR_WORDS})) AS far FROM js GROUP BY doc_id),
+ base AS (SELECT q.*, coalesce(again.n, 0) AS again, n_words < 10 OR 100 * coalesce(again.n, 0) > 20 * n_words AS base_failed FROM q LEFT JOIN again USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, again::BIGINT AS n_repeat_words, base_failed,
+ NOT base_failed AND (n_words < {LEAST_WORDS} OR coalesce(far, 0) <= 1) AS kept FROM base LEFT JOIN far USING (doc_id)
+"""
+
+
+ORACLE = oracle()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, mixing, secret_scan, substring_dedup
+from quern.llm import exact_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from quern.llm.byte_bpe import op4_byte_bpe
 from quern.llm.exact_dedup import op7_exact_dedup
 from quern.llm.mixing import op2_mixing
@@ -23,4 +23,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_mixing, op3_quality_rules, op4_byte_bpe, op5_minhash_near_dedup, op6_sharding, op7_exact_dedup, op8_secret_scan, op9_suffix_array_dedup, op10_quality_classifier)
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_secret_scan": secret_scan.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op5_minhash_near_dedup": near_dedup.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE, "op8_secret_scan": secret_scan.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE,
+}

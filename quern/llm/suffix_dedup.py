@@ -165,3 +165,17 @@ def brute_force(rows: list[tuple[int, str | None]], k: int = K) -> dict[int, tup
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out[d] = (len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest())
     return out
+
+
+#: The same for DuckDB, which keeps a row for each window: for small tables alone. Bytes are pairs of hexadecimal digits.
+ORACLE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+ win AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS i FROM b)),
+ rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY w) > 1),
+ fresh AS (SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= i - 200 THEN 0 ELSE 1 END AS f FROM rep),
+ run AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM fresh) GROUP BY doc_id, r),
+ gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM run),
+ cutout AS (SELECT gap.doc_id, sum(e - s)::BIGINT AS gone, count(*) AS spans, string_agg(h[2 * p + 1:2 * s], '' ORDER BY s) AS head, max(e) AS e FROM gap JOIN b USING (doc_id) GROUP BY gap.doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE head || h[2 * e + 1:] END)) AS kept_sha256
+FROM b LEFT JOIN cutout USING (doc_id)
+"""
