@@ -15,8 +15,9 @@ are found in one hold for all, as far as their texts reach.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -31,21 +32,11 @@ U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 #: Windows handled at once; bounds memory for long documents.
 PIECE = 1 << 20
-#: Words whose hashes a worker keeps.
-KEEP = 150_000
+#: Odd factors of a byte's place in a word, and of each byte.
+PLACE_FACTOR = 0xD1342543DE82EF97
 RANDOM_BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-class WordHashes(dict):
-    """Hash of a word by its bytes, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * MIX_A
     x = (x ^ (x >> U(27))) * MIX_B
@@ -93,27 +84,59 @@ def fragments(x: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+@lru_cache(4)
+def powers(factor: int, many: int) -> np.ndarray:
+    out = np.full(many, factor, U)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class Line:
+    """A text's words, joined by one space, and where each starts and ends."""
+
+    def __init__(self, text: str | None):
+        self.data = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(self.bytes == 32)
+        self.starts, self.ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(self.data)]))
+        if not self.data:
+            self.starts = self.ends = gaps
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word by its bytes: differences of one running sum over the line."""
+        many = 1 << max(17, len(self.data).bit_length())  # few sizes, so that tables are used again
+        sums = np.zeros(len(self.data) + 1, U)
+        np.cumsum(RANDOM_BYTES[self.bytes] * powers(PLACE_FACTOR, many)[: len(self.data)], out=sums[1:])
+        return mixed((sums[self.ends] - sums[self.starts]) * powers(pow(PLACE_FACTOR, -1, 1 << 64), many)[self.starts] + (self.ends - self.starts).astype(U) * STEP)
+
+    def quote(self, start: int, end: int) -> bytes:
+        """The words from ``start`` to before ``end``, as far as there are any."""
+        end = min(end, len(self))
+        return self.data[self.starts[start] : self.ends[end - 1]] if start < end else b""
+
+
 class Words:
     """A text as a sequence of words."""
 
     def __init__(self, m: int):
-        self.m, self.cache = m, WordHashes()
+        self.m = m
 
     @staticmethod
-    def plain(text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").split()
+    def plain(text: str | None) -> Line:
+        return Line(text)
 
-    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        words = self.plain(text)
-        return words, np.fromiter(map(self.cache.__getitem__, words), U, len(words))
+    def read(self, text: str | None) -> tuple[Line, np.ndarray]:
+        line = Line(text)
+        return line, line.hashes()
 
     @staticmethod
-    def many(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The words from each start to each end, joined by one space; cut out of one joined text."""
-        bounds = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=bounds[1:])
-        joined = b" ".join(words)
-        return [joined[a:b] for a, b in zip(bounds[starts].tolist(), (bounds[ends] - 1).tolist(), strict=True)]
+    def many(line: Line, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The words from each start to each end, joined by one space."""
+        data = line.data
+        return [data[a:b] for a, b in zip(line.starts[starts].tolist(), line.ends[ends - 1].tolist(), strict=True)]
 
 
 class Bytes:
@@ -142,36 +165,48 @@ def padded(data: bytes, place: np.ndarray, depth: int) -> list[bytes]:
 
 
 def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, depth: int, whole: bool) -> Iterator[pd.DataFrame]:
-    """Rows of fragments. ``whole``: with their content's digest and their place, else their anchors alone. ``depth``: also the suffix at the anchor, so many bytes of it, or its digest
-    if ``whole``; where it is 0, ``whole`` rows have the hashes of the k - 1 symbols that they start and end with."""
+    """Rows of fragments. ``whole``: with their content's digest and their place, else their anchors alone. ``depth``: with the suffix at the anchor, so many bytes of it: its hash if
+    ``whole``, else the suffix itself instead of the anchor, and how often it occurs among rows read together. Where it is 0, ``whole`` rows have the hashes of the k - 1 symbols that
+    they start and end with."""
     symbols = kind(m)
     rows = Rows(*columns_of(depth, whole), many=100_000)
+    suffixes: Counter[bytes] = Counter()
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             data, x = symbols.read(text)
             start, n, place, h = fragments(x, k, m)
             if not len(start):
                 continue
-            suffix = padded(data, place, depth) if depth else []
+            if depth and not whole:
+                suffixes.update(padded(data, place, depth))
+                if len(suffixes) > 200_000:
+                    yield counted(suffixes)
+                    suffixes = Counter()
+                continue
+            out = [h.view(np.int64)]
             if whole:
                 content = [xxhash.xxh3_128_digest(s) for s in symbols.many(data, start, start + n + k - 1)]
-                out = [h.view(np.int64), content, np.full(len(start), doc_id, np.int64), start, n.astype(np.int32), (place - start).astype(np.int32)]
+                out += [content, np.full(len(start), doc_id, np.int64), start, n.astype(np.int32), (place - start).astype(np.int32)]
                 if depth:
-                    out.append([xxhash.xxh3_128_digest(s) for s in suffix])
+                    out.append(np.array([xxhash.xxh64_intdigest(s, 42) for s in padded(data, place, depth)], U).view(np.int64))
                 else:
                     node = grams(x, k - 1).view(np.int64)
                     out += [node[start], node[start + n]]
-            else:
-                out = [suffix] if depth else [h.view(np.int64)]
             rows.add(*out)
             yield from rows.frames()
     yield from rows.frames(rest=True)
+    if suffixes:
+        yield counted(suffixes)
+
+
+def counted(suffixes: Counter[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"suffix": list(suffixes), "times": list(suffixes.values())})
 
 
 def columns_of(depth: int, whole: bool) -> dict[str, str]:
     if not whole:
-        return {"suffix": "binary"} if depth else {"anchor": "long"}
-    own = {"suffix": "binary"} if depth else {"head": "long", "tail": "long"}
+        return {"suffix": "binary", "times": "long"} if depth else {"anchor": "long"}
+    own = {"suffix": "long"} if depth else {"head": "long", "tail": "long"}
     return {"anchor": "long", "content": "binary", "doc_id": "long", "start": "long", "n": "int", "at": "int"} | own
 
 
@@ -243,12 +278,12 @@ def texts(df: DataFrame) -> DataFrame:
 
 
 def anchors(df: DataFrame, kind: type, k: int, m: int, depth: int = 0) -> DataFrame:
-    """One row for each fragment: its ``anchor``, or the ``suffix`` there, ``depth`` bytes of it."""
+    """One row for each fragment: its ``anchor``. Or the ``suffix`` there, ``depth`` bytes of it, in rows with a number of ``times``."""
     return read(df, kind, k, m, depth, False)
 
 
 def occurrences(df: DataFrame, kind: type, k: int, m: int, depth: int = 0) -> DataFrame:
-    """One row for each fragment, with its content's digest and its place."""
+    """One row for each fragment, with its content's digest and its place. ``suffix`` is a hash, the same as Spark's xxhash64."""
     return read(df, kind, k, m, depth, True)
 
 
@@ -275,14 +310,19 @@ def classes_of(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame
         classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in PLACE], *ends)
         classes = classes.select("anchor", "content", "times", F.struct(*PLACE).alias("first"), *[c for c in ("head", "tail") if c in found.columns])
     classes = cut(classes)
+    release(found.sparkSession)
     # written, so that adaptive execution can split a hot anchor in the join
     branching = cut(classes.groupBy("anchor").agg(F.count("*").alias("ways")).filter("ways > 1").select("anchor"))
-    return classes, cut(classes.join(branching, "anchor").select("first.*"))
+    paths = cut(classes.join(branching, "anchor").select("first.*"))
+    remove(branching)
+    return classes, paths
 
 
 def windows_apart(df: DataFrame, paths: DataFrame, kind: type, k: int) -> DataFrame:
     """A row (digest, doc_id, start) for each window of the listed paths."""
-    return cut(mapped(spans_to_text(df, paths, "inner"), partial(windows, kind=kind, k=k), "digest binary, doc_id long, start long"))
+    edges = cut(mapped(spans_to_text(df, paths, "inner"), partial(windows, kind=kind, k=k), "digest binary, doc_id long, start long"))
+    release(df.sparkSession)
+    return edges
 
 
 def later(doc_id: str = "first.doc_id", start: str = "first.start") -> Column:

@@ -20,18 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.fragments import STEP, U, WordHashes, grams, mixed
-from quern.llm.shared import cut, documents, held, mapped, only
+from quern.llm.fragments import STEP, Line, U, grams, mixed
+from quern.llm.shared import cut, documents, mapped, only, remove
 
 SHINGLE, LIKE = 5, 0.8
 #: A pair at 0.8 misses all 24 bands of 4 registers with probability 0.0000033. Points of a process that are drawn at once.
 BANDS, ROWS, POINTS = 24, 4, 4
 
 
-def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's shingles, ascending, and how often each occurs; fewer words than a shingle are one shingle of their own."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    x = np.fromiter(map(hashes.__getitem__, words), U, len(words))
+    x = Line(text).hashes()
     return np.unique(grams(x, min(SHINGLE, len(x))), return_counts=True) if len(x) else (x, np.zeros(0, np.int64))
 
 
@@ -64,12 +63,11 @@ def signature(shingle: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
 
 
 def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = held("shingles", WordHashes)
     turn = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U) * STEP) | U(1)
     for part in parts:
         rows = []
         for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-            s, w = shingles(text, hashes)
+            s, w = shingles(text)
             bands = mixed((mixed(signature(s, w, BANDS * ROWS)) * turn).reshape(BANDS, ROWS).sum(axis=1)).view(np.int64) if len(s) else np.zeros(0, np.int64)
             rows.append((doc_id, xxhash.xxh3_128_digest(s.tobytes() + w.astype(np.int64).tobytes()), int(w.sum()), bands))
         yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "bands"])
@@ -77,14 +75,13 @@ def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFrame]:
     """Compare texts x with texts y by the exact overlap of their multisets."""
-    hashes = held("shingles", WordHashes)
     last: tuple = (None, None)
     for part in parts:
         found = []
         for a, b, x, y in zip(part["a"], part["b"], part["x"], part["y"], strict=True):
             if last[0] != b:
-                last = (b, shingles(y, hashes))
-            (s, w), (z, v) = shingles(x, hashes), last[1]
+                last = (b, shingles(y))
+            (s, w), (z, v) = shingles(x), last[1]
             _, i, j = np.intersect1d(s, z, assume_unique=True, return_indices=True)
             both = int(np.minimum(w[i], v[j]).sum())
             found.append((a, b, both >= like * (int(w.sum()) + int(v.sum()) - both) - 1e-9))
@@ -93,11 +90,10 @@ def compared(parts: Iterator[pd.DataFrame], like: float) -> Iterator[pd.DataFram
 
 def units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The units of each text's multiset: its shingles, further occurrences of one under hashes of their own."""
-    hashes = held("shingles", WordHashes)
     for part in parts:
         rows = []
         for rep, text in zip(part["rep"], part["text"], strict=True):
-            s, w = shingles(text, hashes)
+            s, w = shingles(text)
             again = (np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)).astype(U)
             rows.append((rep, int(w.sum()), np.where(again > 0, mixed(np.repeat(s, w) + again * STEP), np.repeat(s, w)).view(np.int64)))
         yield pd.DataFrame(rows, columns=["rep", "n", "units"])
@@ -117,7 +113,8 @@ def components(links: DataFrame) -> DataFrame:
         # and every neighbour below it too, with the node itself
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = cut(small.filter("a != b").distinct())
+        last, edges = edges, cut(small.filter("a != b").distinct())
+        remove(last, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
@@ -128,7 +125,10 @@ def mixed_seats(seats: DataFrame, parts: DataFrame) -> DataFrame:
     """The seats, with their part and the bucket's number k and least text, of the buckets that hold several parts."""
     sat = seats.join(parts, "rep")
     buckets = sat.groupBy("bucket").agg(F.count("*").alias("k"), F.min("rep").alias("least"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return cut(sat.join(cut(buckets.filter("low != high").select("bucket", "k", "least")), "bucket"))
+    buckets = cut(buckets.filter("low != high").select("bucket", "k", "least"))
+    out = cut(sat.join(buckets, "bucket"))
+    remove(buckets)
+    return out
 
 
 def led(shared: DataFrame) -> DataFrame:
@@ -187,7 +187,8 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     """Rows (doc_id, class_id, class_size), one for each row of ``df`` (doc_id, text): documents linked by a similarity of ``like`` or more, directly or through others.
 
     ``class_id`` is the least doc_id of the class. Texts with equal multisets of shingles are alike; texts without words are one class. Texts of one to four words are one shingle.
-    doc_id is unique and not null; other columns aren't read. An empty table gives no rows.
+    Rows repeated with one doc_id and one text are alike as any two rows are, and each counts; unlike texts have unlike ones. A row with a null doc_id is in the class of rows with
+    its very shingles, and in none (null) if those have null ones too. Other columns aren't read. An empty table gives no rows.
     """
     texts = only(df, "doc_id", "text")
     rows = cut(mapped(texts, signed, "doc_id long, digest binary, n long, bands array<long>"))
@@ -203,13 +204,14 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
         parts = cut(joined(parts, verified(led(shared), bodies, like).filter("alike").select("a", "b")))
         # what is apart in a bucket is alike only if its units say so
         apart = mixed_seats(seats, parts).select("rep").distinct()
-        heads = prefixes(bodies.select(F.col("doc_id").alias("rep"), "text").join(apart.hint("shuffle_hash"), "rep", "left_semi"), like)
+        heads = prefixes(bodies.select(F.col("doc_id").alias("rep"), "text").join(apart.hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"]), like)
         for least in (True, False):
             found = verified(candidates(heads, parts, like, least), bodies, like)
             parts = cut(joined(parts, found.filter("alike").select("a", "b")))
     named = first.join(parts, "rep", "left").select("digest", "copies", F.coalesce("part", "rep").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    named = cut(named.join(sizes, "class_id").select("digest", "class_id", "class_size"))
+    named = named.withColumn("key", F.coalesce(F.col("class_id").cast("string"), F.hex("digest")))
+    sizes = named.groupBy("key").agg(F.sum("copies").alias("class_size"))
+    named = cut(named.join(sizes, "key").select("digest", "class_id", "class_size"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size")
 
 

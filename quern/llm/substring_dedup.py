@@ -56,7 +56,7 @@ def quoted(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             words = Words.plain(text)
             for s in spans:
-                rows.append((doc_id, s["source_start"], s["n"], b" ".join(words[s["source_start"] : s["source_start"] + s["n"] + k - 1])))
+                rows.append((doc_id, s["source_start"], s["n"], words.quote(s["source_start"], s["source_start"] + s["n"] + k - 1)))
                 size += len(rows[-1][3])
                 if size > 8_000_000:
                     yield pd.DataFrame(rows, columns=["source", "source_start", "n", "words"])
@@ -73,15 +73,16 @@ def repeated_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """
     again = cut(anchors(df, Words, k, m).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
     release(df.sparkSession)
-    found = cut(occurrences(df, Words, k, m).join(again, "anchor"))
+    found = cut(occurrences(df, Words, k, m).join(again.hint("shuffle_hash"), "anchor"))
     remove(again)
     release(df.sparkSession)
     classes, paths = classes_of(found, keep_first=True)
     repeated = cut(compacted(classes.filter("times > 1")))
-    whole = found.join(repeated, ["anchor", "content"]).filter(later("source", "source_start")).select("doc_id", "start", "n", "source", "source_start", "origin")
+    whole = found.join(repeated.hint("shuffle_hash"), ["anchor", "content"]).filter(later("source", "source_start")).select("doc_id", "start", "n", "source", "source_start", "origin")
     edges = windows_apart(df, paths, Words, k)
+    release(df.sparkSession)
     met = cut(edges.groupBy("digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).filter("times > 1").select("digest", "first.doc_id", "first.start").toDF("digest", "source", "source_start"))
-    single = edges.join(met, "digest").filter(later("source", "source_start")).select("doc_id", "start", F.lit(1).alias("n"), "source", "source_start", F.lit(-1).cast("long").alias("origin"))
+    single = edges.join(met.hint("shuffle_hash"), "digest").filter(later("source", "source_start")).select("doc_id", "start", F.lit(1).alias("n"), "source", "source_start", F.lit(-1).cast("long").alias("origin"))
     spans = cut(joined_up(whole.unionByName(single)))
     remove(found, classes, paths, repeated, edges, met)
     release(df.sparkSession)
@@ -99,10 +100,10 @@ def drop_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
             rows = []
             for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
                 words = Words.plain(text)
-                same = [s for s in (() if spans is None else spans) if b" ".join(words[s["start"] : s["start"] + s["n"] + k - 1]) == s["words"]]
+                same = [s for s in (() if spans is None else spans) if words.quote(s["start"], s["start"] + s["n"] + k - 1) == s["words"]]
                 gone = covered(same, len(words), k)
-                kept = words if not gone.any() else [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                rows.append((doc_id, len(words), len(words) - len(kept), None if text is None else b" ".join(kept).decode("utf-8", "surrogatepass")))
+                kept = words.data if not gone.any() else b" ".join(w for w, x in zip(words.data.split(b" "), gone.tolist(), strict=True) if not x)
+                rows.append((doc_id, len(words), int(gone.sum()), None if text is None else kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"])
 
     return mapped(spans_to_text(df, repeated_passages(df, k, m), "left"), finish, "doc_id long, n_words long, n_removed long, text string")

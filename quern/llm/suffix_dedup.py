@@ -2,8 +2,8 @@
 
 The suffixes indexed are those that start at anchors: every string of ``k`` bytes holds an anchor that depends on its bytes alone, so equal strings have indexed suffixes at equal
 places, ``m`` bytes or more before their end. A new batch of documents becomes a suffix array: its suffixes, by their first DEPTH bytes, in order. It is merge-scanned with all existing
-levels: in the common order, what a suffix shares with any other is what it shares with its neighbours, so one pass gives each suffix its longest common prefix. Levels of one size merge
-into the next, so after ``b`` batches there are at most log2(b) + 1, and a suffix is rewritten as often at most.
+levels: in the common order, what a suffix shares with any other is what it shares with its neighbours, so one pass gives each suffix its longest common prefix. In the same pass levels
+of one size merge into the next, so after ``b`` batches there are at most log2(b) + 1, and a suffix is rewritten as often at most.
 
 A string that repeats needs a suffix whose common prefix reaches its end; that leaves few places. There, whole contents are compared: fragments, then blocks, then single strings, by
 digests of 128 bits.
@@ -19,40 +19,39 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.fragments import Bytes, anchors, classes_of, covered, occurrences, pieces, spans_to_text, windows_apart
 from quern.llm.shared import cut, documents, mapped, only, release, remove
 
-K, M, DEPTH, BLOCK = 200, 32, 64, 16
+#: Bytes of a string, of an anchor and of an indexed suffix; strings in a block; batches that a table is dealt to.
+K, M, DEPTH, BLOCK, BATCHES = 200, 32, 64, 16, 3
 
 
-def scanned(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The longest common prefix of each suffix with another one, from suffixes (suffix, times) in order: rows (suffix's digest, reach) where it is ``least`` or more."""
-    last, before = np.zeros((0, depth), np.uint8), 0  # the row whose next one isn't known yet, and what it shares with the one before it
-    many_last = False
+def scanned(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """One pass over suffixes in order, rows (suffix, times, own): equal ones merge into one row, with sums of ``times`` and ``own``, and with ``reach``, the longest common prefix with
+    any other suffix; that is ``depth`` if the suffix occurs twice or more."""
+    rest = np.zeros((0, depth), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = 0  # what the last suffix, which may go on, shares with the one before it
 
-    def found(rows: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
-        kept = np.flatnonzero(reach >= least)
-        digests = [xxhash.xxh3_128_digest(rows[i].tobytes()) for i in kept.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(reach[kept].astype(np.int32))], names=["suffix", "reach"])
+    def merged(rows: np.ndarray, times: np.ndarray, own: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([suffix, pa.array(times), pa.array(own), pa.array(np.where(times > 1, depth, reach).astype(np.int32))], names=["suffix", "times", "own", "reach"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, depth)
-        rows = np.concatenate([last, own])
-        many = np.concatenate([[many_last] * len(last), np.asarray(batch.column(1)) > 1]).astype(bool)
-        unlike = rows[1:] != rows[:-1]
-        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), depth)
-        above = np.concatenate([[before], common]) if len(last) else np.concatenate([[0], common])
-        reach = np.where(many[:-1], depth, np.maximum(above[:-1], common))
-        yield found(rows[:-1], reach)
-        last, before, many_last = rows[-1:], int(above[-1]), bool(many[-1])
-    if len(last):
-        yield found(last, np.array([depth if many_last else before]))
+        read = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, depth), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        rows, times, own = (np.concatenate(x) for x in zip(rest, read, strict=True))
+        begin = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+        rows, times, own = rows[begin], np.add.reduceat(times, begin), np.add.reduceat(own, begin)
+        common = np.concatenate(([before], (rows[1:] != rows[:-1]).argmax(axis=1)))
+        rest, before = (rows[-1:], times[-1:], own[-1:]), int(common[-1])
+        if len(rows) > 1:
+            yield merged(rows[:-1], times[:-1], own[:-1], np.maximum(common[:-1], common[1:]))
+    if len(rest[0]):
+        yield merged(*rest, np.array([before]))
 
 
 class SuffixIndex:
@@ -61,39 +60,31 @@ class SuffixIndex:
     def __init__(self, depth: int = DEPTH, least: int = M) -> None:
         self.depth, self.least = depth, least
         self.levels: dict[int, DataFrame] = {}
-        self.met: list[DataFrame] = []
-
-    def _sorted(self, table: DataFrame) -> DataFrame:
-        """In order; suffixes that share ``least`` bytes come into one part, where neighbours meet."""
-        return table.repartitionByRange(F.substring("suffix", 1, self.least)).sortWithinPartitions("suffix")
-
-    @staticmethod
-    def _summed(*tables: DataFrame) -> DataFrame:
-        return reduce(DataFrame.unionByName, tables).groupBy("suffix").agg(F.sum("times").alias("times"))
+        self.last: DataFrame | None = None
 
     def add(self, suffixes: DataFrame) -> None:
-        """Index a batch of suffixes (suffix), which may be empty: merge-scan it with the levels, then merge it with those of its size."""
-        batch = cut(suffixes.groupBy("suffix").agg(F.count("*").alias("times")))
-        both = cut(self._summed(batch, *self.levels.values())) if self.levels else batch
-        self.met.append(cut(self._sorted(both).mapInArrow(partial(scanned, depth=self.depth, least=self.least), "suffix binary, reach int")))
-        size, merging = 0, [batch]
+        """Index a batch (suffix, times), a written table, which may be empty and hold a suffix in several rows. One pass sorts it, scans it with all levels, and merges those of its size."""
+        size, merging = 0, [suffixes]
         while size in self.levels:
             merging.append(self.levels.pop(size))
             size += 1
-        # all levels merge: what was scanned is the new one
-        self.levels[size] = cut(self._sorted(batch if len(merging) == 1 else self._summed(*merging) if self.levels else both))
-        remove(*merging, *([both] if both is not batch else []))
+        rows = [x.select("suffix", "times", F.col("times").alias("own")) for x in merging] + [x.select("suffix", "times", F.lit(0).cast("long").alias("own")) for x in self.levels.values()]
+        # suffixes that share ``least`` bytes come into one part, where they are neighbours; equal ones were counted before
+        ordered = reduce(DataFrame.unionByName, rows).repartitionByRange(F.substring("suffix", 1, self.least)).sortWithinPartitions("suffix")
+        scan = cut(ordered.mapInArrow(partial(scanned, depth=self.depth), "suffix binary, times long, own long, reach int"))
+        self.levels[size] = scan.filter("own > 0").select("suffix", F.col("own").alias("times"))
+        self.last = scan
+        remove(*merging)
 
     def repeated(self) -> DataFrame:
-        """Rows (suffix, reach): the digest of each suffix that shares ``least`` bytes or more with another, and how many (``depth`` at most). The levels go, as nothing more is added."""
+        """Rows (suffix, reach): the hash of each suffix that shares ``least`` bytes or more with another, and how many (``depth`` at most). The levels go, as nothing more is added."""
+        out = cut(self.last.filter(F.col("reach") >= self.least).select(F.xxhash64("suffix").alias("suffix"), "reach").groupBy("suffix").agg(F.max("reach").alias("reach")))
         remove(*self.levels.values())
         self.levels = {}
-        out = cut(reduce(DataFrame.unionByName, self.met).groupBy("suffix").agg(F.max("reach").alias("reach")))
-        remove(*self.met)
         return out
 
 
-def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4, depth: int = DEPTH) -> DataFrame:
+def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = BATCHES, depth: int = DEPTH) -> DataFrame:
     """Rows (doc_id, start, n): ``n`` windows of ``k`` bytes from byte ``start`` on that also start anywhere else, overlaps included.
 
     ``df`` has doc_id and text; null, empty and shorter texts have no window, and neither have rows with a null doc_id. Rows repeated with one doc_id count each, so that what they share
@@ -101,12 +92,12 @@ def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4, de
     """
     spark, index, docs = df.sparkSession, SuffixIndex(depth, m), only(df, "doc_id", "text")
     for batch in range(batches):
-        index.add(anchors(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch), Bytes, k, m, depth))
+        index.add(cut(anchors(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch), Bytes, k, m, depth)))
         release(spark)
     repeated = index.repeated()
     # a window ends k bytes after its start, which is ``at`` bytes or less before the anchor
     long = (F.col("reach") >= depth) | (F.col("at") + F.col("reach") >= k)
-    found = cut(occurrences(docs, Bytes, k, m, depth).join(repeated, "suffix").filter(long).drop("suffix", "reach"))
+    found = cut(occurrences(docs, Bytes, k, m, depth).join(repeated.hint("shuffle_hash"), "suffix").filter(long).drop("suffix", "reach"))
     remove(repeated)
     release(spark)
     wholes, read, parts = [], [found], found
@@ -114,19 +105,20 @@ def repeated_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4, de
     for last in (False, True):
         classes, paths = classes_of(parts, keep_first=False)
         read += [classes, paths]
-        wholes.append(parts.join(classes.filter("times > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "start", "n"))
+        wholes.append(parts.join(classes.filter("times > 1").select("anchor", "content").hint("shuffle_hash"), ["anchor", "content"]).select("doc_id", "start", "n"))
         if not last:
             parts = cut(mapped(spans_to_text(docs, paths, "inner"), partial(pieces, kind=Bytes, k=k, block=min(BLOCK, k - m + 1)), schema))
             read.append(parts)
+            release(spark)
     edges = windows_apart(docs, paths, Bytes, k)
     met = cut(edges.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1").select("digest"))
-    spans = cut(reduce(DataFrame.unionByName, [*wholes, edges.join(met, "digest").select("doc_id", "start", F.lit(1).alias("n"))]))
+    spans = cut(reduce(DataFrame.unionByName, [*wholes, edges.join(met.hint("shuffle_hash"), "digest").select("doc_id", "start", F.lit(1).alias("n"))]))
     remove(*read, edges, met)
     release(spark)
     return spans
 
 
-def drop_strings(df: DataFrame, k: int = K, m: int = M, batches: int = 4) -> DataFrame:
+def drop_strings(df: DataFrame, k: int = K, m: int = M, batches: int = BATCHES) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): the bytes left, which may end within a character."""
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
