@@ -1,9 +1,11 @@
 """Each operator on small tables: against brute force or plain Python, with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -11,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
+from quern.llm.shared import cut
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -85,28 +88,26 @@ def test_graph(spark):
 
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_merge_scan(size):
-    """The longest common prefix of each suffix with any other, whatever the batches."""
+    """Equal suffixes merge, and each has the longest common prefix with any other, whatever the batches."""
     rng = random.Random(size)
-    table = sorted({bytes(rng.choices(b"ab", k=8)) for _ in range(60)})
-    times = [rng.choice([1, 1, 1, 2]) for _ in table]
-    batches = [pa.RecordBatch.from_arrays([pa.array(table[i : i + size]), pa.array(times[i : i + size])], names=["suffix", "times"]) for i in range(0, len(table), size)]
-    got = {bytes(d): r for b in suffix_dedup.scanned(iter([batches[0].slice(0, 0), *batches]), 8, 5) for d, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    table = sorted((bytes(rng.choices(b"ab", k=8)), rng.choice([1, 1, 2]), rng.choice([0, 1])) for _ in range(60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*table[i : i + size], strict=True)], names=["suffix", "times", "own"]) for i in range(0, len(table), size)]
+    got = [tuple(r.values()) for b in suffix_dedup.scanned(iter([batches[0].slice(0, 0), *batches]), 8) for r in b.to_pylist()]
+    names = sorted({s for s, _, _ in table})
     common = lambda a, b: next((i for i in range(8) if a[i] != b[i]), 8)
-    want = {x: 8 if t > 1 else max(common(x, y) for y in table if y != x) for x, t in zip(table, times, strict=True)}
-    assert got == {xxhash.xxh3_128_digest(x): r for x, r in want.items() if r >= 5}
+    total = {s: (sum(t for x, t, _ in table if x == s), sum(o for x, _, o in table if x == s)) for s in names}
+    assert got == [(s, *total[s], 8 if total[s][0] > 1 else max(common(s, y) for y in names if y != s)) for s in names]
 
 
-def test_levels(spark, monkeypatch):
-    index = suffix_dedup.SuffixIndex(4, 2)
-    sizes = []
+def test_levels(spark):
+    index, sizes = suffix_dedup.SuffixIndex(4, 2), []
+    hashes = {x: spark.createDataFrame([(x,)], "s binary").select(F.xxhash64("s")).first()[0] for x in (b"aaaa", b"aabb", b"bbbb", b"cccc")}
+    assert hashes[b"aabb"] == np.array([xxhash.xxh64_intdigest(b"aabb", 42)], np.uint64).view(np.int64)[0]
     for batch in (["aaaa", "bbbb"], ["aabb"], [], ["cccc", "cccc"], ["bbbb"]):
-        index.add(spark.createDataFrame([(x.encode(),) for x in batch], "suffix binary"))
-        sizes.append(sorted(index.levels))
-        levels = [[bytes(r.suffix) for r in t.collect()] for t in index.levels.values()]
-        assert all(sorted(t) == t or spark.conf.get("spark.sql.shuffle.partitions") != "1" for t in levels)
-    assert sizes == [[0], [1], [0, 1], [2], [0, 2]]
-    got = {bytes(r.suffix): r.reach for r in index.repeated().collect()}
-    assert got == {xxhash.xxh3_128_digest(x): n for x, n in ((b"aaaa", 2), (b"aabb", 2), (b"bbbb", 4), (b"cccc", 4))}
+        index.add(cut(spark.createDataFrame([(x.encode(), 1) for x in batch], "suffix binary, times long")))
+        sizes.append({i: sorted((bytes(r.suffix), r.times) for r in t.collect()) for i, t in index.levels.items()})
+    assert sizes[1:] == [{1: [(b"aaaa", 1), (b"aabb", 1), (b"bbbb", 1)]}, {0: [], 1: sizes[1][1]}, {2: [*sizes[1][1], (b"cccc", 2)]}, {0: [(b"bbbb", 1)], 2: [*sizes[1][1], (b"cccc", 2)]}]
+    assert {r.suffix: r.reach for r in index.repeated().collect()} == {hashes[x]: n for x, n in ((b"aaaa", 2), (b"aabb", 2), (b"bbbb", 4), (b"cccc", 4))}
 
 
 def test_suffix(docs, empty):
@@ -194,6 +195,32 @@ def test_near(docs, empty, spark):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_keeps_links_between_parts(spark):
+    """Texts of a common part and five of ten passages share buckets with many that aren't like them; only their own copies are."""
+    rng = random.Random(9)
+    word = lambda: f"m{rng.randrange(10**6)}"
+    common, passages = [word() for _ in range(50)], [[word() for _ in range(30)] for _ in range(10)]
+    rows = []
+    for choice in itertools.combinations(range(10), 5):
+        text = [*common, *[w for i in choice for w in passages[i]]]
+        for _ in range(4):
+            changed = list(text)
+            changed[rng.randrange(len(changed))] = word()
+            rows.append(" ".join(changed))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == near_dedup.brute_force(rows)
+
+
+def test_near_repeated_rows_and_null_ids(spark):
+    base = [f"r{i}" for i in range(60)]
+    like = " ".join([*base[:59], "z"])
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (7, like), (None, like), (None, "alone of all"), (None, "other words here"), (9, None), (8, "")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(3))).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in got) == [(0, 0, 1), (0, 0, 1), (0, 5, 4), (5, 5, 4), (5, 5, 4), (7, 5, 4), (8, 8, 2), (9, 8, 2)]
+
+
 def test_quality_rules(docs, empty, spark):
     got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
     for d, t in pairs(docs):
@@ -210,6 +237,11 @@ def test_quality_rules(docs, empty, spark):
     rows = [(i, f"{clean} w{i} " * 3, "en") for i in range(60)] + [(99, " ".join(f"AB{i}!!###" for i in range(60)), None)]
     verdict = {r.doc_id: (r.kept, r.char_distance) for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not verdict[99][0] and verdict[99][1] > quality_rules.FAR_CHARS > verdict[3][1]
+    # characters as in the language, but none of its common words
+    odd = "vle sza ang vle wjng ob vle nquvl js jm vle lrqbqur vlrv wrs bqr rll vq see wjvl jqy. "
+    rows.append((98, f"{odd} w1 {' '.join(sorted(odd.split()))} w2", "en"))
+    both = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert both[98].char_distance <= quality_rules.FAR_CHARS and both[98].word_distance > quality_rules.FAR_WORDS and not both[98].kept and not both[98].base_failed
 
 
 SECRETS = [
