@@ -186,12 +186,12 @@ def anchored(batches: Iterator[pd.DataFrame], kind: type, k: int, m: int, depth:
             out = [h.view(np.int64)]
             if whole:
                 content = [xxhash.xxh3_128_digest(s) for s in symbols.many(data, start, start + n + k - 1)]
-                out += [content, np.full(len(start), doc_id, np.int64), start, n.astype(np.int32), (place - start).astype(np.int32)]
+                out += [content, np.full(len(start), doc_id, np.int64), start, n.astype(np.int32)]
                 if depth:
+                    out.append((place - start).astype(np.int32))
                     out.append(np.array([xxhash.xxh64_intdigest(s, 42) for s in padded(data, place, depth)], U).view(np.int64))
                 else:
-                    node = grams(x, k - 1).view(np.int64)
-                    out += [node[start], node[start + n]]
+                    out += ends(x, k - 1, start, start + n)
             rows.add(*out)
             yield from rows.frames()
     yield from rows.frames(rest=True)
@@ -206,8 +206,17 @@ def counted(suffixes: Counter[bytes]) -> pd.DataFrame:
 def columns_of(depth: int, whole: bool) -> dict[str, str]:
     if not whole:
         return {"suffix": "binary", "times": "long"} if depth else {"anchor": "long"}
-    own = {"suffix": "long"} if depth else {"head": "long", "tail": "long"}
-    return {"anchor": "long", "content": "binary", "doc_id": "long", "start": "long", "n": "int", "at": "int"} | own
+    own = {"at": "int", "suffix": "long"} if depth else {"head": "long", "tail": "long"}
+    return {"anchor": "long", "content": "binary", "doc_id": "long", "start": "long", "n": "int"} | own
+
+
+def ends(x: np.ndarray, m: int, *places: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the ``m`` symbols from each place on, by differences of one running sum."""
+    many = 1 << max(17, len(x).bit_length())
+    sums = np.zeros(len(x) + 1, U)
+    np.cumsum(x * powers(PLACE_FACTOR, many)[: len(x)], out=sums[1:])
+    back = powers(pow(PLACE_FACTOR, -1, 1 << 64), many)
+    return [mixed((sums[p + m] - sums[p]) * back[p]).view(np.int64) for p in places]
 
 
 def clipped(spans: list | np.ndarray | tuple, limit: int) -> Iterator[tuple[int, int]]:
@@ -298,17 +307,14 @@ def spans_to_text(df: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return texts(df).join(listed.hint("shuffle_hash"), "doc_id", how)
 
 
-PLACE = ("doc_id", "start", "n", "at")
-
-
 def classes_of(found: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """Classes (anchor, content, times, first, ...) of equal fragments, and the first of each class where an anchor has several (doc_id, start, n, at)."""
-    ends = [F.first(c).alias(c) for c in ("head", "tail") if c in found.columns]
+    """Classes (anchor, content, times, first, ...) of equal fragments, and the first of each class where an anchor has several (doc_id, start, n, ...)."""
+    place, nodes = [[c for c in names if c in found.columns] for names in (("doc_id", "start", "n", "at"), ("head", "tail"))]
     if keep_first:
-        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct(*PLACE)).alias("first"), *ends)
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct(*place)).alias("first"), *[F.first(c).alias(c) for c in nodes])
     else:  # any place will do, and its columns come from one row
-        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in PLACE], *ends)
-        classes = classes.select("anchor", "content", "times", F.struct(*PLACE).alias("first"), *[c for c in ("head", "tail") if c in found.columns])
+        classes = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in (*place, *nodes)])
+        classes = classes.select("anchor", "content", "times", F.struct(*place).alias("first"), *nodes)
     classes = cut(classes)
     release(found.sparkSession)
     # written, so that adaptive execution can split a hot anchor in the join

@@ -4,23 +4,25 @@ Each window of ``k`` words is an edge between the nodes of its first and its las
 built: consecutive edges of a document with one anchor are a path, and only paths whose anchor occurs again can repeat. Equal paths are one; joins with the table of nodes and their
 degrees compact the repeated paths that meet at nodes with one way in and one way out; and only where an anchor has several paths (the graph branches) are single edges compared.
 
-Digests find what repeats; words decide. Each span that would go is looked up at its source coordinates (document, first word), and goes only if the words there are the same.
+Digests find what repeats; words decide. Each span that would go is looked up at its source coordinates (document, first word), block by block of the source, so that a source is quoted
+once however many spans come from it; and it goes only if the words there are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.fragments import Words, anchors, classes_of, covered, later, occurrences, spans_to_text, windows_apart
+from quern.llm.fragments import Line, Words, anchors, classes_of, covered, later, occurrences, spans_to_text, windows_apart
 from quern.llm.shared import cut, documents, mapped, release, remove
 
-K, M = 20, 6
+#: Words of a window, of a minimiser, and of a block of a source.
+K, M, QUOTE = 20, 6, 32
 
 
 def nodes(paths: DataFrame) -> DataFrame:
@@ -49,24 +51,38 @@ def joined_up(pieces: DataFrame) -> DataFrame:
     return spans.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("n"), "source", (F.col("start") - F.col("shift")).alias("source_start"))
 
 
-def quoted(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The words of the listed spans of each document, joined by one space."""
+def quoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of the listed blocks of each document, joined by one space."""
+    columns = ["source", "block", "words"]
     for batch in batches:
         rows, size = [], 0
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             words = Words.plain(text)
             for s in spans:
-                rows.append((doc_id, s["source_start"], s["n"], words.quote(s["source_start"], s["source_start"] + s["n"] + k - 1)))
-                size += len(rows[-1][3])
+                rows.append((doc_id, s["block"], words.quote(s["block"] * QUOTE, (s["block"] + 1) * QUOTE)))
+                size += len(rows[-1][2])
                 if size > 8_000_000:
-                    yield pd.DataFrame(rows, columns=["source", "source_start", "n", "words"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["source", "source_start", "n", "words"])
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def verified(words: Line, quotes: list | np.ndarray, k: int) -> list[dict]:
+    """The spans (start, n) of a document whose words are those of their source in every block (block, words) that they reach into."""
+    spans: dict[tuple[int, int, int], bool] = {}
+    for q in quotes:
+        start, n, source_start = q["start"], q["n"], q["source_start"]
+        first = q["block"] * QUOTE
+        low, high = max(first, source_start), min(first + QUOTE, source_start + n + k - 1)
+        there = q["words"] if high - low == QUOTE else b" ".join(q["words"].split(b" ")[low - first : high - first])
+        same = words.quote(start + low - source_start, start + high - source_start) == there
+        spans[start, n, source_start] = spans.get((start, n, source_start), True) and same
+    return [{"start": start, "n": n} for (start, n, _), same in spans.items() if same]
 
 
 def repeated_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Rows (doc_id, start, n, words): ``n`` windows of ``k`` words, from word ``start`` on, whose words also start earlier (smaller doc_id, or an earlier word); ``words`` are those of
-    the earlier place, joined by one space.
+    """Rows (doc_id, start, n, source_start, block, words): ``n`` windows of ``k`` words, from word ``start`` on, whose words also start earlier (smaller doc_id, or an earlier word);
+    a row for each block of the source that they reach into, with its words, joined by one space.
 
     ``df`` has doc_id and text; null and empty texts have no window, nor have texts under ``k`` words. Rows with a null doc_id have none either; of rows repeated with one doc_id none
     is earlier than the other. Other columns aren't read. An empty table gives no rows.
@@ -81,15 +97,19 @@ def repeated_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
     whole = found.join(repeated.hint("shuffle_hash"), ["anchor", "content"]).filter(later("source", "source_start")).select("doc_id", "start", "n", "source", "source_start", "origin")
     edges = windows_apart(df, paths, Words, k)
     release(df.sparkSession)
-    met = cut(edges.groupBy("digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).filter("times > 1").select("digest", "first.doc_id", "first.start").toDF("digest", "source", "source_start"))
-    single = edges.join(met.hint("shuffle_hash"), "digest").filter(later("source", "source_start")).select("doc_id", "start", F.lit(1).alias("n"), "source", "source_start", F.lit(-1).cast("long").alias("origin"))
+    # few edges repeat: the first of each is looked for among those alone
+    met = edges.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1").select("digest")
+    again = cut(edges.join(met.hint("shuffle_hash"), "digest"))
+    first = again.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("digest", "first.doc_id", "first.start").toDF("digest", "source", "source_start")
+    single = again.join(cut(first).hint("shuffle_hash"), "digest").filter(later("source", "source_start")).select("doc_id", "start", F.lit(1).alias("n"), "source", "source_start", F.lit(-1).cast("long").alias("origin"))
     spans = cut(joined_up(whole.unionByName(single)))
-    remove(found, classes, paths, repeated, edges, met)
+    remove(found, classes, paths, repeated, edges, again)
     release(df.sparkSession)
-    asked = spans.select(F.col("source").alias("doc_id"), "source_start", "n").distinct()
-    words = cut(mapped(spans_to_text(df, asked, "inner"), partial(quoted, k=k), "source long, source_start long, n int, words binary"))
+    block = lambda at: F.floor(at / QUOTE)
+    asked = spans.withColumn("block", F.explode(F.sequence(block(F.col("source_start")), block(F.col("source_start") + F.col("n") + k - 2))))
+    words = cut(mapped(spans_to_text(df, asked.select(F.col("source").alias("doc_id"), "block").distinct(), "inner"), quoted, "source long, block long, words binary"))
     release(df.sparkSession)
-    return spans.join(words, ["source", "source_start", "n"]).select("doc_id", "start", "n", "words")
+    return asked.join(words.hint("shuffle_hash"), ["source", "block"]).select("doc_id", "start", "n", "source_start", "block", "words")
 
 
 def drop_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -100,8 +120,7 @@ def drop_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
             rows = []
             for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
                 words = Words.plain(text)
-                same = [s for s in (() if spans is None else spans) if words.quote(s["start"], s["start"] + s["n"] + k - 1) == s["words"]]
-                gone = covered(same, len(words), k)
+                gone = covered([] if spans is None else verified(words, spans, k), len(words), k)
                 kept = words.data if not gone.any() else b" ".join(w for w, x in zip(words.data.split(b" "), gone.tolist(), strict=True) if not x)
                 rows.append((doc_id, len(words), int(gone.sum()), None if text is None else kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"])
