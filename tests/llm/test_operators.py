@@ -70,15 +70,16 @@ def test_words_decide(spark, monkeypatch):
     """Passages whose digests are equal by accident, but not their words, stay."""
     one, two = " ".join(WORDS[:40]), " ".join(WORDS[40:80])
     table = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
-    spans = spark.createDataFrame([(2, 0, 21, one.encode()), (3, 0, 21, one.encode())], "doc_id long, start long, n int, words binary")
+    blocks = [" ".join(WORDS[:32]), " ".join(WORDS[32:40])]
+    spans = spark.createDataFrame([(d, 0, 21, 0, i, b.encode()) for d in (2, 3) for i, b in enumerate(blocks)], "doc_id long, start long, n int, source_start long, block long, words binary")
     monkeypatch.setattr(substring_dedup, "repeated_passages", lambda *_: spans)
     assert {r.doc_id: r.n_removed for r in substring_dedup.drop_passages(table).collect()} == {1: 0, 2: 0, 3: 40}
 
 
 def test_graph(spark):
     """Paths a-b, b-c join at b; at c two ways leave, so the joined path ends there; e-f has another source."""
-    place = "struct<doc_id:long,start:long,n:int,at:int>"
-    rows = [("p", (1, 10, 5, 0), 1, 2), ("q", (1, 15, 4, 0), 2, 3), ("r", (1, 19, 3, 0), 3, 4), ("s", (2, 0, 3, 0), 3, 5), ("t", (2, 3, 2, 0), 5, 6)]
+    place = "struct<doc_id:long,start:long,n:int>"
+    rows = [("p", (1, 10, 5), 1, 2), ("q", (1, 15, 4), 2, 3), ("r", (1, 19, 3), 3, 4), ("s", (2, 0, 3), 3, 5), ("t", (2, 3, 2), 5, 6)]
     paths = spark.createDataFrame([(1, c.encode(), f, h, t) for c, f, h, t in rows], f"anchor long, content binary, first {place}, head long, tail long")
     assert {r.node: (r.ways_in, r.ways_out) for r in substring_dedup.nodes(paths).collect()} == {1: (0, 1), 2: (1, 1), 3: (1, 2), 4: (1, 0), 5: (1, 1), 6: (1, 0)}
     assert {bytes(r.content).decode(): (r.source, r.source_start, r.origin) for r in substring_dedup.compacted(paths).collect()} == {"p": (1, 10, 10), "q": (1, 15, 10), "r": (1, 19, 19), "s": (2, 0, 0), "t": (2, 3, 0)}
