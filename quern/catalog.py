@@ -115,10 +115,11 @@ def pagerank_sql(steps: int) -> str:
     return ", ".join(out)
 
 
-def settled_sql(steps: int, name: str = "move", epsilon: float = graph.EPSILON) -> str:
+def settled_sql(steps: int, table: str = "r", columns: tuple[str, ...] = ("score",), epsilon: float = graph.EPSILON) -> str:
     """The first of the steps r1, r2, ... after which no score moves by more than ``epsilon``."""
-    moves = " UNION ALL ".join(f"SELECT {i} AS step, max(abs(a.score - b.score)) AS {name} FROM r{i} a JOIN r{i - 1} b USING (node_id)" for i in range(1, steps + 1))
-    return f"last AS MATERIALIZED (SELECT min(step) AS step FROM ({moves}) WHERE {name} <= {epsilon}), done AS (" + " UNION ALL ".join(f"SELECT * FROM r{i} WHERE (SELECT step FROM last) = {i}" for i in range(1, steps + 1)) + ")"
+    move = "greatest(" + ", ".join(f"max(abs(a.{c} - b.{c}))" for c in columns) + ")"
+    moves = " UNION ALL ".join(f"SELECT {i} AS step, {move} AS move FROM {table}{i} a JOIN {table}{i - 1} b USING (node_id)" for i in range(1, steps + 1))
+    return f"last AS MATERIALIZED (SELECT min(step) AS step FROM ({moves}) WHERE move <= {epsilon}), done AS (" + " UNION ALL ".join(f"SELECT * FROM {table}{i} WHERE (SELECT step FROM last) = {i}" for i in range(1, steps + 1)) + ")"
 
 
 def drawn_sql(*parts: str) -> str:
@@ -607,6 +608,11 @@ def hits_authorities(spark: SparkSession, d: str) -> DataFrame:
     return rounded(whole_hits(spark, d).select("node_id", F.col("authority").alias("score")))
 
 
+@query(f"WITH {EDGES}, {hits_sql(ENOUGH // 2, 'edges', 'nodes')}, {settled_sql(ENOUGH // 2, 'h', ('hub', 'authority'), graph.HITS_EPSILON)} SELECT node_id, round(hub, 6) AS hub, round(authority, 6) AS authority FROM done")
+def hits_converged(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hits(edges(spark, d), nodes(spark, d)).select("node_id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+
+
 def best_sql(name: str) -> str:
     return f"(SELECT '{name}' AS kind, node_id, round({name}, 5) AS score FROM h{HITS_STEPS} ORDER BY round({name}, 9) DESC, node_id LIMIT 30)"
 

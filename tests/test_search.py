@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from quern.__main__ import main
 from quern.functions.tokens import PATTERNS, basename, edit_distance, tokens
 from quern.operators import graph, index, prefix, search, spell
 from quern.plans.query import Query, QueryType, matches
@@ -197,3 +198,26 @@ def test_kgrams(engine):
     assert sorted(r[0] for r in index.kgram_lookup(grams, ["^d", "do"]).collect()) == ["dog", "dogs"]
     with pytest.raises(ValueError, match="different lengths"):
         index.kgram_lookup(grams, ["a", "ab"])
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "d").mkdir()
+    for i, text in enumerate(TEXTS):
+        (tmp_path / "d" / f"doc{i}").write_text(text)
+    (tmp_path / "links").write_text("0;1,2\n1;2\n2;0\n3;2\n4;\n")
+    at = str(tmp_path / "i")
+
+    def said(*arguments):
+        capsys.readouterr()
+        main(list(arguments))
+        return capsys.readouterr().out.splitlines()
+
+    said("index", str(tmp_path / "d"), "-t", at, "-cf", "-rp")
+    assert sorted(line.rsplit("/", 1)[1] for line in said("search", at, "quick fox")) == ["doc0", "doc1", "doc2"]
+    assert [line.rsplit("/", 1)[1] for line in said("search", at, "quick dog", "-k", "ranked")] == ["doc2", "doc0", "doc1"]
+    assert [line.rsplit("/", 1)[1] for line in said("search", at, "quick dog", "-k", "ranked", "-s", "1", "-m", "1")] == ["doc0"]
+    assert said("kgrams", at, "^d do") == ["dog", "dogs"] and said("spell", at, "quik")[0].split("\t")[0] == "quick"
+    assert said("pagerank", str(tmp_path / "links"), "-m", "1") == ["2: 0.37988"] and said("hits", str(tmp_path / "links"), "-m", "1") == ["0: 0.70712", "2: 0.92388"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x").write_text("Ab, é")
+    assert said("tokens", str(tmp_path / "t"), "-rd") == ["Ab", ",", "e"] and said("tokens", str(tmp_path / "t"), "-cf", "-rp") == ["ab", "é"]
