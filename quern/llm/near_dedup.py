@@ -105,16 +105,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        # every neighbour above a node goes to the node's least neighbour
+        # every neighbour above a node goes to the node's least neighbour; those are written, so that adaptive execution can split the links of a hot node in the join
         near = both(edges)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.filter("a != b").distinct())
         # and every neighbour below it too, with the node itself
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         last, edges = edges, cut(small.filter("a != b").distinct())
-        remove(last, large)
+        remove(last, least, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
@@ -195,8 +195,9 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
     first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     bands = rows.join(first.select("digest", "rep"), "digest").filter("doc_id = rep")
     seats = bands.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
-    shared = seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    shared = cut(seats.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"))
     seats = cut(seats.join(shared, "bucket").select("bucket", "rep"))
+    remove(shared)
     parts = cut(seats.select("rep").distinct().select("rep", F.col("rep").alias("part")))
     bodies = cut(texts.join(parts.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"))
     shared = mixed_seats(seats, parts)
@@ -210,7 +211,7 @@ def near_classes(df: DataFrame, like: float = LIKE) -> DataFrame:
             parts = cut(joined(parts, found.filter("alike").select("a", "b")))
     named = first.join(parts, "rep", "left").select("digest", "copies", F.coalesce("part", "rep").alias("class_id"))
     named = named.withColumn("key", F.coalesce(F.col("class_id").cast("string"), F.hex("digest")))
-    sizes = named.groupBy("key").agg(F.sum("copies").alias("class_size"))
+    sizes = cut(named.groupBy("key").agg(F.sum("copies").alias("class_size")))
     named = cut(named.join(sizes, "key").select("digest", "class_id", "class_size"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size")
 
