@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked through their group. Groups larger than a small part of a shard, of which there are few, are placed first, largest first, each in one shard; only
 a group that no shard has room for is cut, into as few parts as fill the emptiest shards. In each round a join gives every other document the shard where most of its group lies, and
-documents move there as far as the shards' quotas allow; the share that may enter a shard is drawn by a hash of the group, so that groups move together. At the end a distributed
-ranking gives each shard exactly its number of rows: the surplus of full shards moves, texts without a copy before others, and then whole groups one after another.
+documents move there as far as the shards' quotas allow for documents with a copy, as those without can make room; the share that may enter a shard is drawn by a hash of the group, so
+that groups move together. Rounds end when nobody wants to move. At the end a distributed ranking gives each shard exactly its number of rows: the surplus of full shards moves, texts without a copy before others, and then whole groups one after another.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from quern.llm.shared import cut, documents, only, remove
 from quern.operators.prefix import BITS, numbered
 
 SHARDS, ROUNDS = 16, 3
-#: Rows of a group that is not placed first, at most, as a part of a shard; how far above its quota a shard may be while documents move; bits of a group in the order of slots.
-PART, SLACK, GROUP_BITS = 32, 0.05, 12
+#: Rows of a group that is not placed first, at most, as a part of a shard; bits of a group in the order of slots.
+PART, GROUP_BITS = 32, 12
 
 
 def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -47,13 +47,15 @@ def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFram
     )
     placed = cut(placed)
     remove(base, groups)
-    quota = rows / shards * (1 + SLACK)
     for step in range(rounds):
         near = placed.filter("linked").groupBy("chunk", "shard").agg(F.count("*").alias("n"))
         want = cut(near.groupBy("chunk").agg(F.max_by("shard", F.struct("n", F.hash("chunk", "shard"))).alias("want")))
         asked = placed.join(want, "chunk", "left").withColumn("want", F.coalesce("want", "shard"))
-        flows = {(r["shard"], r.want): r.n for r in asked.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()}  # shards squared at most
-        share = entering(flows, shards, quota)
+        flows = {(r["shard"], r.want): r.n for r in asked.filter("linked OR fixed").groupBy("shard", "want").agg(F.count("*").alias("n")).collect()}  # shards squared at most
+        if all(a == b for a, b in flows):
+            remove(want)
+            break
+        share = entering(flows, shards, rows // shards)
         odds = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("want") + 1)
         draw = F.pmod(F.xxhash64("chunk", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
         new = cut(asked.withColumn("shard", F.when(draw < odds, F.col("want")).otherwise(F.col("shard"))).select(placed.columns))
