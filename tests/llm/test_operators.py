@@ -197,12 +197,12 @@ def test_near(docs, empty, spark):
 
 
 def test_near_keeps_links_between_parts(spark):
-    """Texts of a common part and five of ten passages share buckets with many that aren't like them; only their own copies are."""
+    """Texts of a common part and four of eight passages share buckets with many that aren't like them; only their own copies are."""
     rng = random.Random(9)
     word = lambda: f"m{rng.randrange(10**6)}"
-    common, passages = [word() for _ in range(50)], [[word() for _ in range(30)] for _ in range(10)]
+    common, passages = [word() for _ in range(50)], [[word() for _ in range(30)] for _ in range(8)]
     rows = []
-    for choice in itertools.combinations(range(10), 5):
+    for choice in itertools.combinations(range(8), 4):
         text = [*common, *[w for i in choice for w in passages[i]]]
         for _ in range(4):
             changed = list(text)

@@ -63,9 +63,8 @@ def test_sharding(spark, folder):
     counts = np.bincount([r.shard for r in got.values()], minlength=16)
     assert counts.max() - counts.min() <= 1
     assert all(sorted(r.slot for r in got.values() if r.shard == s) == list(range(n)) for s, n in enumerate(counts))
-    # a group goes to no more shards than it needs, but for few
-    cut = [t for t, s in where.items() if len(set(s)) > max(1, -(-len(s) // counts.min()) + 1)]
-    assert len(cut) <= len([s for s in where.values() if len(s) > 1]) // 10
+    # groups that a shard has room for are whole
+    assert all(len(set(s)) == 1 for s in where.values() if len(s) <= counts.min()) and max(map(len, where.values())) > counts.min()
 
 
 def test_classifier(spark, folder):
