@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import kgrams, tokens
+from quern.sources.tables import remove, settle
 
 #: Terms that a query's wildcards stand for are listed in its filter up to so many, and joined beyond.
 LISTED = 1_000
@@ -108,8 +109,9 @@ class Index:
 
     def save(self, path: str) -> None:
         """Write all four tables, each sorted by what it is looked up by; lists of frequent terms are cut by doc_id, so that none lies in one task."""
-        save_postings(self.postings, f"{path}/postings")
-        spark = self.postings.sparkSession
+        spark, written = self.postings.sparkSession, settle(self.postings)  # a range partitioning reads its input twice: not the texts
+        save_postings(written, f"{path}/postings")
+        remove(written)
         terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         grams = kgram_index(spark.read.parquet(f"{path}/terms"))
