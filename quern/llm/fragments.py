@@ -302,8 +302,9 @@ def read(df: DataFrame, kind: type, k: int, m: int, depth: int, whole: bool) ->
 
 
 def spans_to_text(df: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Join each document with its list of spans; the spans are the built side, so that texts aren't sorted."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "doc_id"])).alias("spans"))
+    """Join each document with its list of spans, structs or what the only further column holds; the spans are the built side, so that texts aren't sorted."""
+    columns = [c for c in spans.columns if c != "doc_id"]
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*columns) if len(columns) > 1 else columns[0]).alias("spans"))
     return texts(df).join(listed.hint("shuffle_hash"), "doc_id", how)
 
 

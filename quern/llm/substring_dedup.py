@@ -58,8 +58,8 @@ def quoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             words = Words.plain(text)
-            for s in spans:
-                rows.append((doc_id, s["block"], words.quote(s["block"] * QUOTE, (s["block"] + 1) * QUOTE)))
+            for block in spans:
+                rows.append((doc_id, block, words.quote(block * QUOTE, (block + 1) * QUOTE)))
                 size += len(rows[-1][2])
                 if size > 8_000_000:
                     yield pd.DataFrame(rows, columns=columns)
@@ -68,13 +68,15 @@ def quoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(words: Line, quotes: list | np.ndarray, k: int) -> list[dict]:
-    """The spans (start, n) of a document whose words are those of their source in every block (block, words) that they reach into."""
+    """The spans (start, n) of a document whose words are those of their source in every block that they reach into; quotes are ``start:n:source_start:block:words``."""
     spans: dict[tuple[int, int, int], bool] = {}
     for q in quotes:
-        start, n, source_start = q["start"], q["n"], q["source_start"]
-        first = q["block"] * QUOTE
+        *numbers, there = q.split(b":", 4)
+        start, n, source_start, block = map(int, numbers)
+        first = block * QUOTE
         low, high = max(first, source_start), min(first + QUOTE, source_start + n + k - 1)
-        there = q["words"] if high - low == QUOTE else b" ".join(q["words"].split(b" ")[low - first : high - first])
+        if high - low < QUOTE:
+            there = b" ".join(there.split(b" ")[low - first : high - first])
         same = words.quote(start + low - source_start, start + high - source_start) == there
         spans[start, n, source_start] = spans.get((start, n, source_start), True) and same
     return [{"start": start, "n": n} for (start, n, _), same in spans.items() if same]
@@ -125,7 +127,8 @@ def drop_passages(df: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 rows.append((doc_id, len(words), int(gone.sum()), None if text is None else kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"])
 
-    return mapped(spans_to_text(df, repeated_passages(df, k, m), "left"), finish, "doc_id long, n_words long, n_removed long, text string")
+    quotes = F.concat(F.encode(F.concat_ws(":", "start", "n", "source_start", "block", F.lit("")), "utf-8"), "words")  # flat, as lists of structs are slow to hand over
+    return mapped(spans_to_text(df, repeated_passages(df, k, m).select("doc_id", quotes.alias("quote")), "left"), finish, "doc_id long, n_words long, n_removed long, text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
