@@ -92,7 +92,8 @@ def entering(flows: dict[tuple[int, int], int], shards: int, quota: float) -> li
 
 def slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     """Rank the rows of each shard: groups placed first, other groups, texts without a copy. Rows ranked above their shard's number fill the gaps of others."""
-    group, doc = F.shiftrightunsigned(F.xxhash64("chunk", F.lit(2)), 64 - GROUP_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 64 - (BITS - 2 - GROUP_BITS))
+    together = F.when(F.col("fixed"), F.xxhash64("doc_id", F.lit(3))).otherwise(F.xxhash64("chunk", F.lit(2)))  # groups placed first, which may be large, needn't stay in one cell
+    group, doc = F.shiftrightunsigned(together, 64 - GROUP_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 64 - (BITS - 2 - GROUP_BITS))
     order = F.when(F.col("fixed"), 0).when(F.col("linked"), 1).otherwise(2).cast("long")
     key = F.shiftleft(F.shiftleft(order, GROUP_BITS) + group, BITS - 2 - GROUP_BITS) + doc
     ranked = numbered(placed.withColumn("key", key), ["shard"], "key", ["chunk", "doc_id", "h"], 4 * rows // shards).withColumnRenamed("nr", "slot")
